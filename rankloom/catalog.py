@@ -1,0 +1,15 @@
+"""The registered queries of the engine and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(10)
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
