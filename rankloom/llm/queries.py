@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, quality, toxicity
+from . import bpe, licenses, packing, quality, topk, toxicity, warc
 from .runtime import table
 
 
@@ -17,10 +17,19 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive(table(spark, sf_dir, "pages")).select(*names)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -42,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.ORACLE}
+    return {"op2_warc_index_merge": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_quality_rules": quality.ORACLE}
