@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, quality, substrings, topk, toxicity, warc
+from . import bpe, licenses, neardup, packing, quality, substrings, topk, toxicity, warc
 from .runtime import table
 
 
@@ -17,6 +17,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return warc.archive(table(spark, sf_dir, "pages")).select(*names)
