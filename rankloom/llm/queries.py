@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, neardup, packing, quality, substrings, topk, toxicity, warc
+from . import bloomlm, bpe, licenses, neardup, packing, quality, substrings, topk, toxicity, warc
 from .runtime import table
 
 
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
