@@ -7,8 +7,9 @@ Word pairs seen once leave their mass to the words: they would tell as much as t
 
     P(w | v) = (1 - m) * P(w) + m * c(v w) / c(v),   P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
-with c(v w) and c(v) read from the filter, rounded so that the ratios of a context never add up to more than 1, and m = 0
-where the context isn't in the filter.  P(w) comes from exact counts: the most frequent words, up to ``FREQUENT_WORDS``,
+with c(v w) and c(v) read from the filter, rounded so that the ratios of a context never add up to more than 1, and m
+grows with the logarithm of the context's count (``MIX`` for each doubling, up to ``MOST_MIX``): a frequent context has
+told most of what can follow it, a rare one hasn't.  P(w) comes from exact counts: the most frequent words, up to ``FREQUENT_WORDS``,
 are broadcast; occurrences of the others are shuffled to their counts, one row for each text and word.
 
 A filter is bounded by ``FILTER_BYTES``.  Where the training texts need more, it is split by the pair's first word into
@@ -35,7 +36,8 @@ _U = np.uint64
 END = _U(0x5E0F5E0F5E0F5E0F)
 START = _U(0x57A2757A2757A275)
 ADD = 0.1
-MIX = 0.6
+#: Weights fitted once on training texts set apart by another remainder of the same hash.
+MIX, MOST_MIX = 0.035, 0.6
 #: Quantisation: level q stands for counts from STEP ** (q - 1) on, in units of the least stored count.
 STEP = 1.4
 PAIR_LEAST = 2
@@ -288,7 +290,8 @@ def _pass(docs: DataFrame, stored: DataFrame, frequent, below: float, segments:
                 starts = v == START
                 ratio[starts] = 0.0
                 has = (c > 0) & ~starts
-                part, left = np.where(has, MIX * np.minimum(ratio, 1.0), 0.0), np.where(has, 1 - MIX, 1.0)
+                m = np.where(has, np.minimum(MOST_MIX, MIX * np.log2(1 + low(c, 1))), 0.0)
+                part, left = m * np.minimum(ratio, 1.0), 1 - m
                 n = len(s)
                 add = lambda x: np.bincount(doc[hit], weights=x[hit], minlength=n)
                 sums = [np.bincount(doc, minlength=n), np.bincount(doc[hit], minlength=n), add(np.log10(p)), add(np.log10(part + left * p))]

@@ -101,7 +101,10 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 def keep_good(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("text"))
-    return measures(row, "_row").where(~base_failed() & verdict(thresholds)).select("_row.*")
+    # The verdict goes through explode(), below which no filter is pushed: pushed down, it would be made of expressions
+    # that evaluate the sorted windows anew for each window.
+    judged = measures(row, "_row").select("_row", F.explode(F.array(~base_failed() & verdict(thresholds))).alias("_keep"))
+    return judged.where("_keep").select("_row.*")
 
 
 _RULE_SQL = " AND ".join(
