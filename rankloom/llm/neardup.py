@@ -4,16 +4,19 @@ A text is the multiset of its five-word shingles (a text of one to four words ha
 discretised to units, and the weight axis of a shingle is a hierarchy of intervals [0, 1), [1, 2), [2, 4), [4, 8), ...
 Each interval has a Poisson process of its own, seeded by shingle and level, whose rate is the interval's width; a point
 also has a place on the weight axis, and belongs to all texts in which the shingle's weight reaches beyond that place.
-Every point falls on one of ``BANDS * ROWS`` components, and a component keeps its earliest point, so that two texts agree
+Every point falls on one of ``COMPONENTS`` components, and a component keeps its earliest point, so that two texts agree
 in a component with a probability of their weighted Jaccard similarity.  Points are made lazily: a process stops once its
 next point is later than all components of its text.
 
 1. Texts with equal words are one node.
-2. Nodes that agree in all components of a band meet.  The smallest node of a band is its centre, and every other node is
-   compared with it: as many candidates as nodes, whatever the sizes of the groups.
+2. Nodes that agree in all components of a band meet.  A band's centre is its node that meets most others in all of its
+   bands (a text that the others are edits of does), and every other node is compared with the centre: as many candidates
+   as nodes, whatever the sizes of the groups.
 3. Candidates are verified on whole texts: sum of minima over sum of maxima of the shingles' counts at least ``LEAST``.
-4. Verified links give components.  A node that failed against a centre is then compared with all nodes of that band which
-   are in other components, so that no link between candidates is lost by the choice of centres.
+4. Verified links give components.  A node that failed against a centre can still be linked to others of that band which
+   are in other components.  One minus the similarity is a metric, so only those are compared whose distances from the
+   centre differ by what a link allows at most, and whose ``COMPONENTS`` signature components agree nearly often enough
+   (``SLACK`` standard deviations below the similarity asked for: 1 link in 100,000 at the threshold is lost, as to bands).
 5. Components again; a class is named by its smallest doc_id.
 
 At a similarity of 0.8 two texts meet with a probability of 1 - (1 - 0.8 ** 5) ** 25 = 0.99995.
@@ -35,7 +38,9 @@ from .blocks import column, grams, mix64, of_texts, ranges, slabs, window_bounds
 from .runtime import prepare, written
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 25, 5
+#: Bands use the first BANDS * ROWS components; all of them estimate similarities, four bits of each, 16 to an integer.
+BANDS, ROWS, COMPONENTS = 25, 5, 512
+SLACK = 4.3
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -62,7 +67,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 1) * 2.0**-53
 
 
-def signatures(h: np.ndarray, d: np.ndarray, w: np.ndarray, texts: int, m: int = BANDS * ROWS) -> np.ndarray:
+def signatures(h: np.ndarray, d: np.ndarray, w: np.ndarray, texts: int, m: int = COMPONENTS) -> np.ndarray:
     """The earliest point of each component of each text; inf throughout for a text without shingles."""
     best = np.full(texts * m, np.inf)
     level = np.frexp(np.maximum(w - 1, 0).astype(float))[1]  # the highest level whose interval begins below w
@@ -90,13 +95,36 @@ def signatures(h: np.ndarray, d: np.ndarray, w: np.ndarray, texts: int, m: int =
 
 
 def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    bits = best.view(_U).reshape(len(best), bands, rows)
+    bits = np.ascontiguousarray(best[:, : bands * rows]).view(_U).reshape(len(best), bands, rows)
     out = np.broadcast_to(np.arange(bands, dtype=_U), (len(best), bands)).copy()
     for i in range(rows):
         out = mix64(out * _GOLD + bits[:, :, i])
     return out.astype(np.int64)
 
 
+def nibbles(best: np.ndarray) -> np.ndarray:
+    """Four bits of each component, 16 components to an integer."""
+    four = (mix64(np.ascontiguousarray(best).view(_U)) & _U(15)).reshape(len(best), -1, 16)
+    return (four << (_U(4) * np.arange(16, dtype=_U))).sum(axis=2, dtype=_U).astype(np.int64)
+
+
+def agreement(a: str, b: str):
+    """How many components of two columns of nibbles agree."""
+
+    def unlike(x, y):
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(COMPONENTS) - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda s, x: s + x)
+
+
+def enough(least: float) -> float:
+    """The least agreement of a pair that may be a link; a sixteenth of unlike components agree by chance."""
+    p = least + (1 - least) / 16
+    return COMPONENTS * (p - SLACK * (p * (1 - p) / COMPONENTS) ** 0.5)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two multisets as (sorted hashes, counts)."""
     i = np.minimum(np.searchsorted(b[0], a[0]), max(len(b[0]) - 1, 0))
@@ -113,7 +141,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16 bytes of a hash of the words; null without words), bands."""
+    """doc_id, node (16 bytes of a hash of the words; null without words), bands, four (all components, four bits each)."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -121,16 +149,17 @@ def sketch(docs: DataFrame) -> DataFrame:
             for s in slabs(column(batch, "text")):
                 w = s.words()
                 node = [hashlib.md5(b" ".join(s.text(i).split()), usedforsecurity=False).digest() if n else None for i, n in enumerate(w.counts)]
-                keys = band_keys(signatures(*counted(*shingles(w.hashes(), w.bounds)), len(s)))
+                best = signatures(*counted(*shingles(w.hashes(), w.bounds)), len(s))
+                keys, four = band_keys(best), nibbles(best)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(s.first, len(s)), pa.array(node, pa.binary()), bands], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(s.first, len(s)), pa.array(node, pa.binary()), bands, pa.ListArray.from_arrays(np.arange(0, four.size + 1, four.shape[1], dtype=np.int32), four.ravel())], names=["doc_id", "node", "bands", "four"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>, four array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, ok of candidate pairs (a, b) of nodes, by their texts (node, text)."""
+    """a, b, sim, ok of candidate pairs (a, b) of nodes, by their texts (node, text)."""
     full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
 
     def run(batches):
@@ -142,10 +171,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
             for i, x in enumerate(a):
                 if x != last:
                     last, one = x, bag(ta[i].as_py())
-                ok.append(similarity(one, bag(tb[i].as_py())) >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ok)], names=["a", "b", "ok"])
+                ok.append(similarity(one, bag(tb[i].as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ok, pa.float64())], names=["a", "b", "sim"])
 
-    return full.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary, ok boolean")
+    return full.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary, sim double").withColumn("ok", F.col("sim") >= least)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,20 +198,32 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_links (verified links of its text), node."""
     rows = written(sketch(docs), "sketch")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("first_id")), "nodes")
+    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("four").alias("four"), F.min("doc_id").alias("first_id")), "nodes")
     met = nodes.select("node", F.explode("bands").alias("band"))
-    centre = met.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band", "centre")
-    met = written(met.join(centre, "band"), "met")
+    crowd = written(met.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "crowds")
+    met = written(met.join(crowd, "band"), "met")
+    rank = met.groupBy("node").agg(F.sum("_n").alias("_s"))
+    centre = met.select("band", "node").join(rank, "node").groupBy("band").agg(F.max(F.struct("_s", "node"))["node"].alias("centre"))
+    met = written(met.select("band", "node").join(centre, "band"), "met")
     pairs = written(met.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = written(_texts(docs, involved), "texts")
     seen = written(verified(pairs, texts, least), "verified")
     roots = components(seen.where("ok"))
     found = roots.select("node", "root")
-    failed = met.join(seen.where("NOT ok").select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"]).select("band", F.col("node").alias("a"))
-    named = lambda df, c, out: df.join(found.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    others = named(met.select("band", F.col("node").alias("b"), "centre"), "b", "_rb")
-    more = named(failed, "a", "_ra").join(others, "band").where((F.col("a") != F.col("b")) & (F.col("_ra") != F.col("_rb")) & (F.col("b") != F.col("centre")))
+    far = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d"))
+    root_of = lambda df: df.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = root_of(met.join(far, ["centre", "node"]))
+    # Only bands with a failed node can have more to compare.
+    open_ = apart.groupBy("band").agg(F.max("d").alias("_far"), F.count(F.lit(1)).alias("_m")).where((F.col("_far") > 1 - least) & (F.col("_m") > 1)).select("band")
+    apart = written(apart.join(open_, "band", "left_semi").join(nodes.select("node", "four"), "node"), "apart")
+    hair = 1e-9
+    # A failed node farther than two links from a centre has none with the centre's class; with other failed nodes it may.
+    a = apart.where(F.col("d") > 1 - least + hair).select("band", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("d").alias("_da"), F.col("four").alias("_fa"))
+    b = apart.select("band", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("d").alias("_db"), F.col("four").alias("_fb"))
+    near = (F.abs(F.col("_da") - F.col("_db")) <= 1 - least + hair) & (F.col("_ra") != F.col("_rb"))
+    once = (F.col("_db") <= 1 - least + hair) | (F.col("a") < F.col("b"))
+    more = a.join(b, (a["band"] == b["band"]) & near & once & (agreement("_fa", "_fb") >= enough(least)))
     more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     if more.limit(1).count():
         again = written(verified(more, texts, least), "verified")
