@@ -239,19 +239,19 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_words: int
     entries = stored.agg(F.sum(F.floor(F.log(F.col("n") / F.when(F.col("kind") == 1, 1).otherwise(PAIR_LEAST)) / math.log(STEP) + 1e-9) + 1)).first()[0] or 0
     segments = max(1, -(-int(entries) * BITS // (8 * SEGMENT)))
     shards = max(1, -(-segments * SEGMENT // filter_bytes))
-    passes = [_pass(docs, stored, frequent, below, max(1, -(-segments // shards)), s, shards) for s in range(shards)]
+    passes = [_pass(docs, stored, frequent, below, max(1, -(-segments // shards)), s, shards).withColumn("_rows", F.when(F.col("word").isNull(), int(s == 0)).otherwise(0)) for s in range(shards)]
     rows = written(reduce(DataFrame.unionByName, passes), "positions")
 
     known = rows.where("word IS NOT NULL").join(rare.withColumnRenamed("key", "word"), "word", "left")
     p = (F.coalesce("n", F.lit(0)) + ADD) / F.lit(below)
     tail = known.select(
-        "_key", "doc_id",
+        "_key", "doc_id", "_rows",
         F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("n_known"), F.lit(0).cast("long").alias("n_tokens"),
         (F.col("times") * F.log10(p)).alias("base_score"), (F.col("times") * F.log10(F.col("part") + F.col("left") * p)).alias("score"),
     )
-    whole = rows.where("word IS NULL").select("_key", "doc_id", "n_known", "n_tokens", "base_score", "score")
+    whole = rows.where("word IS NULL").select("_key", "doc_id", "_rows", "n_known", "n_tokens", "base_score", "score")
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    out = tail.unionByName(whole).groupBy("_key", "doc_id").agg(*sums, F.sum(F.when(F.col("n_tokens") > 0, 1)).alias("_rows"))
+    out = tail.unionByName(whole).groupBy("_key", "doc_id").agg(*sums, F.sum("_rows").alias("_rows"))
     copies = F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int")))
     each = [(F.col(c) / F.col("_rows")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))]
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0

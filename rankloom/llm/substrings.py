@@ -257,7 +257,7 @@ def _marks(found_docs: DataFrame, window: int, prefix: int) -> DataFrame:
     def sent(batches):
         for batch in send(batches):
             mark = "n" not in batch.schema.names and batch.num_columns == 3
-            yield batch if mark else pa.RecordBatch.from_arrays([batch.column(0), pa.array([False] * len(batch)), batch.column(1)], names=["bucket", "mark", "data"])
+            yield batch if mark else pa.RecordBatch.from_arrays([batch.column(0), pa.array([False] * len(batch), pa.bool_()), batch.column(1)], names=["bucket", "mark", "data"])
 
     rows = written(found_docs.mapInArrow(sent, "bucket int, mark boolean, data binary"), "suffixes")
     known = rows.where("mark").select("bucket", "data")
@@ -279,7 +279,7 @@ def _runs(ids, tags, place, n: int, mark: bool) -> pa.RecordBatch:
     size = np.minimum(length[owner] - 255 * k, 255)
     at = first[owner]
     batch = dealt(_by_document(ids[at], n), n, {"id": ids[at], "tag": tags[at], "place": (place[at] + 255 * k).astype(np.uint32), "n": size.astype(np.uint8)})
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([True] * len(batch)), batch.column(1)], names=["bucket", "mark", "data"]) if mark else batch
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([True] * len(batch), pa.bool_()), batch.column(1)], names=["bucket", "mark", "data"]) if mark else batch
 
 
 def marked(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
