@@ -15,7 +15,7 @@ next point is later than all components of its text.
 3. Candidates are verified on whole texts: sum of minima over sum of maxima of the shingles' counts at least ``LEAST``.
 4. Verified links give components.  A node that failed against a centre can still be linked to others of that band which
    are in other components.  One minus the similarity is a metric, so only those are compared whose distances from the
-   centre differ by what a link allows at most, and whose ``COMPONENTS`` signature components agree nearly often enough
+   centre differ by what a link allows at most, in the first band that both share, and whose ``COMPONENTS`` signature components agree nearly often enough
    (``SLACK`` standard deviations below the similarity asked for: 1 link in 100,000 at the threshold is lost, as to bands).
 5. Components again; a class is named by its smallest doc_id.
 
@@ -216,14 +216,17 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     apart = root_of(met.join(far, ["centre", "node"]))
     # Only bands with a failed node can have more to compare.
     open_ = apart.groupBy("band").agg(F.max("d").alias("_far"), F.count(F.lit(1)).alias("_m")).where((F.col("_far") > 1 - least) & (F.col("_m") > 1)).select("band")
-    apart = written(apart.join(open_, "band", "left_semi").join(nodes.select("node", "four"), "node"), "apart")
+    apart = written(apart.join(open_, "band", "left_semi").join(nodes.select("node", "four", "bands"), "node"), "apart")
     hair = 1e-9
     # A failed node farther than two links from a centre has none with the centre's class; with other failed nodes it may.
-    a = apart.where(F.col("d") > 1 - least + hair).select("band", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("d").alias("_da"), F.col("four").alias("_fa"))
-    b = apart.select("band", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("d").alias("_db"), F.col("four").alias("_fb"))
+    a = apart.where(F.col("d") > 1 - least + hair).select("band", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("d").alias("_da"), F.col("four").alias("_fa"), F.col("bands").alias("_ba"))
+    b = apart.select("band", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("d").alias("_db"), F.col("four").alias("_fb"), F.col("bands").alias("_bb"))
     near = (F.abs(F.col("_da") - F.col("_db")) <= 1 - least + hair) & (F.col("_ra") != F.col("_rb"))
     once = (F.col("_db") <= 1 - least + hair) | (F.col("a") < F.col("b"))
-    more = a.join(b, (a["band"] == b["band"]) & near & once & (agreement("_fa", "_fb") >= enough(least)))
+    # Two nodes often share several bands; the first one brings them.  All tests but this one hold in each of their bands if
+    # they are linked (a band where one of them is the centre has compared them), so that no link is lost.
+    first = a["band"] == F.element_at(F.filter(F.zip_with("_ba", "_bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    more = a.join(b, (a["band"] == b["band"]) & near & once & first & (agreement("_fa", "_fb") >= enough(least)))
     more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     if more.limit(1).count():
         again = written(verified(more, texts, least), "verified")
