@@ -41,6 +41,8 @@ SHINGLE, LEAST = 5, 0.8
 #: Bands use the first BANDS * ROWS components; all of them estimate similarities, four bits of each, 16 to an integer.
 BANDS, ROWS, COMPONENTS = 25, 5, 512
 SLACK = 4.3
+#: Words of the filter that marks involved nodes, 63 bits of each: 16 MiB, whatever the number of nodes.
+SLOTS = 1 << 21
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -206,7 +208,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     centre = met.select("band", "node").join(rank, "node").groupBy("band").agg(F.max(F.struct("_s", "node"))["node"].alias("centre"))
     met = written(met.select("band", "node").join(centre, "band"), "met")
     pairs = written(met.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    involved = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "involved")
     texts = written(_texts(docs, involved), "texts")
     seen = written(verified(pairs, texts, least), "verified")
     roots = components(seen.where("ok"))
@@ -243,11 +245,38 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return joined.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
 
 
+def _mark(node: bytes) -> tuple[int, int]:
+    """A node's word of the filter and its two bits there."""
+    x = int.from_bytes(node[:8], "little")
+    return x % SLOTS, 1 << (x >> 24) % 63 | 1 << (x >> 44) % 63
+
+
+def _marks(involved: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``SLOTS`` words; the workers make it, and its size doesn't depend on the number of nodes."""
+
+    def run(batches):
+        for batch in batches:
+            found = {}
+            for node in column(batch, "node").to_pylist():
+                slot, bits = _mark(node)
+                found[slot] = found.get(slot, 0) | bits
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["slot", "bits"])
+
+    made = involved.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[made["slot"].to_numpy()] = made["bits"].to_numpy()
+    return out
+
+
 def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """node, text: one text of each involved node; a copy that a task has sent already isn't sent again."""
+    """node, text: one text of each involved node; a copy that a task has sent already isn't sent again.
+
+    The filter keeps most other texts from being shuffled; the join decides, so that a full filter costs time only."""
     node = F.col("node")
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(involved))
 
     def run(batches):
+        marks = shared.value
         sent = set()
         for batch in batches:
             at, nodes = [], []
@@ -255,7 +284,8 @@ def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
                 for i in range(len(s)):
                     if words := s.text(i).split():
                         x = hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
-                        if x not in sent:
+                        slot, bits = _mark(x)
+                        if x not in sent and int(marks[slot]) & bits == bits:
                             sent.add(x)
                             at.append(s.first + i)
                             nodes.append(x)
