@@ -4,9 +4,10 @@ An expression is a stretch of ``ORDER`` bytes within a lower-cased word; the str
 that stems tell about forms never seen.  Both classes have absolutely discounted counts, the number of documents of the
 class with the expression, and share one backoff distribution, which counts in how many
 surroundings (first and last bytes) an expression's parts occur in either class.  The discounts are set so that both classes give the same mass to the backoff: an expression that is rare in both
-has a ratio near 1, whatever the sizes of the classes.  All expressions have one length, so the log-likelihoods are
-normalised by it; a document's evidence is its most toxic expression's difference, toxic less ordinary.  A logistic curve
-fitted on training rows, each without its own counts, turns evidence into a probability.
+has a ratio near 1, whatever the sizes of the classes; one seen in neither class has ratio 1.  A document's evidence is
+the difference of the classes' log-likelihoods, toxic less ordinary, summed over all expressions of the whole text and
+divided by their number, and beside it its most toxic expression's difference.  A logistic curve over both, fitted on
+training rows, each without its own counts, turns evidence into a probability.
 
 Training rows: up to ``SAMPLE`` labelled rows, those with the smallest hash of their id.  Every document is scored whole.
 Rules for odd rows: null texts are empty and have no evidence; null labels teach nothing; of several labels for an id the
@@ -64,11 +65,11 @@ def _unique_by_text(code: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Model:
-    """Log ratios of the expressions that speak for toxicity, and the curve from evidence to probability."""
+    """Log ratios of the expressions of the training rows, and the curve from evidence to probability."""
 
-    def __init__(self, codes: np.ndarray, ratios: np.ndarray, slope: float = 0.0, shift: float = -50.0):
+    def __init__(self, codes: np.ndarray, ratios: np.ndarray, slopes: np.ndarray = np.zeros(2), shift: float = -50.0):
         order = np.argsort(codes)
-        self.codes, self.ratios, self.slope, self.shift = codes[order], ratios[order], slope, shift
+        self.codes, self.ratios, self.slopes, self.shift = codes[order], ratios[order], slopes, shift
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[self._slot(codes)] = True
 
@@ -77,18 +78,22 @@ class Model:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
     def evidence(self, slab: Slab) -> np.ndarray:
-        out = np.zeros(len(slab))
+        """A row for each text: the log ratios' mean over all its expressions, and the largest one, 0 at least."""
+        total, most = np.zeros(len(slab)), np.zeros(len(slab))
         code, text, _ = expressions(slab)
+        number = np.bincount(text, minlength=len(slab))
         if len(code) and len(self.codes):
             some = np.flatnonzero(self.maybe[self._slot(code)])
             code, text = code[some], text[some]
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = self.codes[at] == code
-            np.maximum.at(out, text[hit], self.ratios[at[hit]])
-        return out
+            found, text = self.ratios[at[hit]], text[hit]
+            total = np.bincount(text, weights=found, minlength=len(slab))
+            np.maximum.at(most, text, found)
+        return np.stack([total / np.maximum(number, 1), most], axis=1)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -700, 700)))
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.slopes + self.shift, -700, 700)))
 
 
 def _discount(counts: np.ndarray, weight: np.ndarray, total: float, shared: float) -> float:
@@ -100,18 +105,27 @@ def _discount(counts: np.ndarray, weight: np.ndarray, total: float, shared: floa
     return low
 
 
-def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve: Newton's method, both classes with the same weight, a weak prior."""
+def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve: Newton's method, both classes with the same weight, a weak prior.
+
+    Evidence never speaks against toxicity by growing: an input whose slope would be negative is left out."""
+    slopes = np.zeros(evidence.shape[1])
     if not toxic.any() or toxic.all():
-        return 0.0, -50.0
-    x = np.stack([evidence, np.ones(len(evidence))], axis=1)
+        return slopes, -50.0
+    scale = np.maximum(evidence.std(axis=0), 1e-9)
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic) * min(len(toxic), 2000)
-    w, prior = np.zeros(2), np.array([1e-2, 1e-4])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(prior), x.T @ (weight * (toxic - p)) - prior * w)
-        w = w + step / max(1.0, np.abs(step).max() / 5)
-    return float(w[0]), float(w[1])
+    use = np.arange(len(slopes))
+    while True:
+        x = np.column_stack([evidence[:, use] / scale[use], np.ones(len(evidence))])
+        w, prior = np.zeros(len(use) + 1), np.array([1e-2] * len(use) + [1e-4])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(prior), x.T @ (weight * (toxic - p)) - prior * w)
+            w = w + step / max(1.0, np.abs(step).max() / 5)
+        if (w[:-1] >= 0).all():
+            slopes[use] = w[:-1] / scale[use]
+            return slopes, float(w[-1])
+        use = np.delete(use, np.argmin(w[:-1]))
 
 
 def ratios(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, words: np.ndarray, shared: float = SHARED):
@@ -166,21 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> M
     backoff = np.minimum(t + o, lead[np.searchsorted(tails, tail)] + kinds[np.searchsorted(stem, code >> np.uint64(8))]).astype(float)
     of = ratios(code, t, o, backoff)
     every = np.arange(len(code))
-    speaks = np.flatnonzero(of(every) > 0.5)
-    small = code[speaks], of(speaks), of(speaks, 1, 0), of(speaks, 0, 1)
+    less_toxic, less_ordinary = of(every, 1, 0), of(every, 0, 1)
 
     def left_out(batches):
-        plain, own = Model(small[0], small[3]), Model(small[0], small[2])
+        plain, own = Model(code, less_ordinary), Model(code, less_toxic)
         for batch in batches:
             flags = column(batch, "toxic").to_numpy(zero_copy_only=False).astype(bool)
             for s in slabs(column(batch, "text")):
                 mark = flags[s.first : s.first + len(s)]
-                x = np.where(mark, own.evidence(s), plain.evidence(s))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(mark)], names=["x", "toxic"])
+                x = np.where(mark[:, None], own.evidence(s), plain.evidence(s))
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(mark)], names=["mean", "most", "toxic"])
 
-    seen = rows.mapInArrow(left_out, "x double, toxic boolean").toArrow()
-    slope, shift = _curve(seen.column("x").to_numpy(), seen.column("toxic").to_numpy(zero_copy_only=False).astype(float))
-    return Model(small[0], small[1], max(slope, 0.0), shift)
+    seen = rows.mapInArrow(left_out, "mean double, most double, toxic boolean").toArrow()
+    x = np.stack([seen.column(c).to_numpy() for c in ("mean", "most")], axis=1)
+    slopes, shift = _curve(x, seen.column("toxic").to_numpy(zero_copy_only=False).astype(float))
+    return Model(code, of(every), slopes, shift)
 
 
 def held_out_thirds():

@@ -257,6 +257,25 @@ def test_toxicity(spark, docs):
     assert not any(p and not t for t, p in out)
 
 
+def test_toxic_evidence_is_of_the_whole_text(spark):
+    """Evidence spread over many mild expressions counts, ordinary evidence counts against, length is normalised."""
+    s = blocks.of_texts(["abcde fghij", "abcde fghij " * 50, "abcde zzzzz", "", "zzzzz"])
+    code = toxicity.expressions(blocks.of_texts(["abcde fghij"]))[0]
+    x = toxicity.Model(code, np.where(np.arange(len(code)) % 2, -0.6, 0.4)).evidence(s)
+    want = np.where(np.arange(len(code)) % 2, -0.6, 0.4).mean()
+    assert x[0, 0] == pytest.approx(want) and x[1, 0] == pytest.approx(want) and x[0, 1] == x[1, 1] == 0.4
+    assert x[2, 0] == pytest.approx((0.4 - 0.6 + 0.4) / 6) and not x[3:].any()
+    r, text = random.Random(5), {}
+    mild, plain = [f"mild{a}{b}" for a in "abcdefgh" for b in "qrstuv"], [f"word{a}{b}" for a in "abcdefgh" for b in "qrstuv"]
+    for i in range(900):
+        toxic = i % 3 == 0
+        text[i] = " ".join(r.choice(mild if r.random() < (0.6 if toxic else 0.35) else plain) for _ in range(120))
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in text], "doc_id long, toxic int")
+    got = [(r.doc_id % 3 == 0, r.score) for r in toxicity.judge(df, labels).collect() if r.held_out]
+    assert sum((s > 0.5) == t for t, s in got) >= 0.95 * len(got)
+
+
 def test_toxicity_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(5, 1, None), (6, 1, 1), (None, 1, 1)], none.schema)
