@@ -12,8 +12,9 @@ grows with the logarithm of the context's count (``MIX`` for each doubling, up t
 told most of what can follow it, a rare one hasn't.  P(w) comes from exact counts: the most frequent words, up to ``FREQUENT_WORDS``,
 are broadcast; occurrences of the others are shuffled to their counts, one row for each text and word.
 
-A filter is bounded by ``FILTER_BYTES``.  Where the training texts need more, it is split by the pair's first word into
-as many filters, and texts are read once for each: every position is then scored with the filter of its context.
+A filter is bounded by ``FILTER_BYTES``.  Where the training texts need more, it is split by ranges of the first word's
+hash, which leads a pair's key, into as many filters, each sized from its own words and pairs; texts are read once for each:
+every position is then scored with the filter of its context.  Only a single leading value that needs more exceeds the bound.
 Rules for odd rows: a null text is empty and has one token, the end; a null doc_id's remainder is that of the empty text's
 hash; rows that repeat an id are each scored (repeats equal in id and text score alike); without training texts N = V = 0.
 """
@@ -43,13 +44,16 @@ STEP = 1.4
 PAIR_LEAST = 2
 PROBES, BITS = 6, 10
 SEGMENT = 1 << 13
+#: Bits of its first word's hash that lead a pair's key.
+LEAD = 12
 FILTER_BYTES = 64 << 20
 FREQUENT_WORDS = 1 << 19
 BLOCK_WORDS = 1_000_000
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix64(v * _U(0x9E3779B97F4A7C15) + w * _U(3) + _U(1))
+    tail = mix64(v * _U(0x9E3779B97F4A7C15) + w * _U(3) + _U(1)) >> _U(LEAD)
+    return (v >> _U(64 - LEAD) << _U(64 - LEAD)) | tail
 
 
 def level(count: np.ndarray, least: int) -> np.ndarray:
@@ -236,10 +240,10 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_words: int
     rare = written(words.where((F.col("n") < least)), "rare") if bar else words.limit(0)
 
     stored = counted.where(f"kind = 2 OR n >= {PAIR_LEAST}")
-    entries = stored.agg(F.sum(F.floor(F.log(F.col("n") / F.when(F.col("kind") == 1, 1).otherwise(PAIR_LEAST)) / math.log(STEP) + 1e-9) + 1)).first()[0] or 0
-    segments = max(1, -(-int(entries) * BITS // (8 * SEGMENT)))
-    shards = max(1, -(-segments * SEGMENT // filter_bytes))
-    passes = [_pass(docs, stored, frequent, below, max(1, -(-segments // shards)), s, shards).withColumn("_rows", F.when(F.col("word").isNull(), int(s == 0)).otherwise(0)) for s in range(shards)]
+    levels = F.floor(F.log(F.col("n") / F.when(F.col("kind") == 1, 1).otherwise(PAIR_LEAST)) / math.log(STEP) + 1e-9) + 1
+    entries = {r["lead"]: int(r["e"]) for r in stored.groupBy(F.shiftrightunsigned("key", 64 - LEAD).alias("lead")).agg(F.sum(levels).alias("e")).collect()}
+    ranges = shards(entries, filter_bytes)
+    passes = [_pass(docs, stored, frequent, below, *own).withColumn("_rows", F.when(F.col("word").isNull(), int(own[0] == 0)).otherwise(0)) for own in ranges]
     rows = written(reduce(DataFrame.unionByName, passes), "positions")
 
     known = rows.where("word IS NOT NULL").join(rare.withColumnRenamed("key", "word"), "word", "left")
@@ -258,13 +262,26 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent_words: int
     return out.select("doc_id", *each, copies.alias("_c")).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(size_n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _pass(docs: DataFrame, stored: DataFrame, frequent, below: float, segments: int, shard: int, shards: int) -> DataFrame:
-    """Sums over the positions whose context belongs to a shard, and rows for those whose word isn't frequent.
+def shards(entries: dict[int, int], filter_bytes: int) -> list[tuple[int, int, int]]:
+    """(first, end, segments) of ranges of leading values, each with BITS an entry within filter_bytes where it can."""
+    size = lambda n: max(1, -(-n * BITS // (8 * SEGMENT)))
+    out, first, held = [], 0, 0
+    for lead in range(1 << LEAD):
+        own = entries.get(lead, 0)
+        if held and size(held + own) * SEGMENT > filter_bytes:
+            out.append((first, lead, size(held)))
+            first, held = lead, 0
+        held += own
+    return [*out, (first, 1 << LEAD, size(held))]
 
-    Pairs don't tell their first word from their hash; a shard's filter holds all words, and all pairs whose hash
-    belongs to it, so that a position asks the filter of its pair."""
+
+def _pass(docs: DataFrame, stored: DataFrame, frequent, below: float, first: int, end: int, segments: int) -> DataFrame:
+    """Sums over the positions whose context's leading value is in a range, and rows for those whose word isn't frequent.
+
+    A range's filter holds its words and all pairs that begin with them, so that a position asks the filter of its context."""
     spark = docs.sparkSession
-    own = stored.where((F.col("kind") == 1) | (F.pmod(F.col("key"), F.lit(shards)) == shard)) if shards > 1 else stored
+    whole = end - first == 1 << LEAD
+    own = stored if whole else stored.where(F.shiftrightunsigned("key", 64 - LEAD).between(first, end - 1))
     shared = spark.sparkContext.broadcast((build(own, segments), *frequent))
 
     def run(batches):
@@ -277,8 +294,9 @@ def _pass(docs: DataFrame, stored: DataFrame, frequent, below: float, segments:
                 doc = np.repeat(np.arange(len(s)), np.diff(bounds))
                 v = contexts(t, bounds)
                 both = pair(v, t)
-                if shards > 1:
-                    mine = (both.astype(np.int64) % shards) == shard
+                if not whole:
+                    lead = v >> _U(64 - LEAD)
+                    mine = (lead >= _U(first)) & (lead < _U(end))
                     t, v, both, doc = t[mine], v[mine], both[mine], doc[mine]
                 at = np.minimum(np.searchsorted(top, t), max(len(top) - 1, 0))
                 hit = top[at] == t if len(top) else np.zeros(len(t), dtype=bool)
@@ -298,15 +316,15 @@ def _pass(docs: DataFrame, stored: DataFrame, frequent, below: float, segments:
                 rest = np.flatnonzero(~hit)
                 rest = rest[np.lexsort((part[rest], left[rest], t[rest], doc[rest]))]
                 same = np.concatenate([[True], (t[rest][1:] != t[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1]) | (part[rest][1:] != part[rest][:-1]) | (left[rest][1:] != left[rest][:-1])]) if len(rest) else np.zeros(0, bool)
-                first = rest[same]
+                begin = rest[same]
                 times = np.diff(np.append(np.flatnonzero(same), len(rest)))
-                where = pa.array(np.concatenate([np.arange(n), doc[first]]) + s.first)
-                k = len(first)
+                where = pa.array(np.concatenate([np.arange(n), doc[begin]]) + s.first)
+                k = len(begin)
                 both_ = lambda a, b, kind: pa.array(np.concatenate([a, b]), kind)
                 zero, none = np.zeros(k), np.zeros(n)
-                word = pa.array(np.concatenate([np.zeros(n, np.int64), t[first].astype(np.int64)]), mask=np.arange(n + k) < n)
+                word = pa.array(np.concatenate([np.zeros(n, np.int64), t[begin].astype(np.int64)]), mask=np.arange(n + k) < n)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(where), ids.take(where), word, both_(none.astype(np.int64), times, pa.int64()), both_(none, part[first], pa.float64()), both_(none, left[first], pa.float64()), both_(sums[0], zero.astype(np.int64), pa.int64()), both_(sums[1], zero.astype(np.int64), pa.int64()), both_(sums[2], zero, pa.float64()), both_(sums[3], zero, pa.float64())],
+                    [keys.take(where), ids.take(where), word, both_(none.astype(np.int64), times, pa.int64()), both_(none, part[begin], pa.float64()), both_(none, left[begin], pa.float64()), both_(sums[0], zero.astype(np.int64), pa.int64()), both_(sums[1], zero.astype(np.int64), pa.int64()), both_(sums[2], zero, pa.float64()), both_(sums[3], zero, pa.float64())],
                     names=["_key", "doc_id", "word", "times", "part", "left", "n_tokens", "n_known", "base_score", "score"],
                 )
 

@@ -229,6 +229,23 @@ def test_language_model(docs, texts):
         assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_language_model_in_parts(docs):
+    """Scores with one filter and with several agree within what its planned error, about 1 in 100 probes, can move."""
+    whole, split = ({r.doc_id: (r.score, r.n_tokens) for r in bloomlm.score(docs, filter_bytes=n).collect()} for n in (1 << 26, 3 << 13))
+    moved = [abs(split[i][0] - x) / n for i, (x, n) in whole.items()]
+    assert whole.keys() == split.keys() and sum(moved) / len(moved) < 0.02
+
+
+def test_filter_parts_are_sized_from_their_own_entries():
+    r = random.Random(4)
+    entries = {lead: r.randrange(3000) for lead in range(1 << bloomlm.LEAD) if lead % 3}
+    parts = bloomlm.shards(entries, 64 * bloomlm.SEGMENT)
+    assert len(parts) > 1 and parts[0][0] == 0 and parts[-1][1] == 1 << bloomlm.LEAD and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    for first, end, segments in parts:
+        assert sum(entries.get(x, 0) for x in range(first, end)) * bloomlm.BITS <= segments * bloomlm.SEGMENT * 8 and segments <= 64
+    assert bloomlm.shards({}, 1) == [(0, 1 << bloomlm.LEAD, 1)]
+
+
 def test_language_model_odd(odd):
     rows = bloomlm.score(odd).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 2), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (6, 2)]
