@@ -1,7 +1,7 @@
 """License scans: ordered signature rules, as built-in expressions over the words of a text.
 
 A text is lower-cased (A-Z only) and read as words of digits, letters a-z and bytes from 0x80 on.  A first pattern over
-the raw text tells whether any rule can apply at all.  Texts that pass are rewritten as words with single spaces; then
+the raw text, made of the rules' keywords, tells whether any rule can apply at all.  Texts that pass are rewritten as words with single spaces; then
 each rule whose keyword the text contains runs its regular expression, which yields intervals of words.  An interval
 inside a longer one is suppressed, as is one that equals another of higher priority.  What survives gives the labels.
 The places of the base phrases always count, and their labels always stay.
@@ -20,7 +20,6 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
-_GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|creative|gpl|public[^0-9A-Za-z]+domain|rights[^0-9A-Za-z]+reserved|warrant|redistribut|hereby|cc[^0-9A-Za-z]+by|cc0|apache|mozilla"
 
 _LICENSE = "(?:licen[sc]e|licence)"
 _VERSION = "(?:version |v )?"
@@ -156,11 +155,18 @@ def _table() -> Column:
     return F.array(*(F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(c).alias("sure"), F.lit(b).alias("base"), F.lit(i).alias("priority")) for i, (a, k, p, c, b) in enumerate(rows)))
 
 
+def gate() -> str:
+    """A pattern over raw text that finds the words of any rule's keyword, or of a base phrase: no rule matches without."""
+    words = sorted({phrase for phrase, _ in BASE} | {keyword for _, keyword, _, _ in rules()})
+    some = "|".join(w.replace(" ", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+") for w in words)
+    return rf"(?i)(?<![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])(?:{some})(?![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])"
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     raw = F.coalesce(F.col(text), F.lit(""))
     norm = F.concat(F.lit(" "), F.regexp_replace(F.translate(raw, _UPPER, _LOWER), _GAP, " "), F.lit(" "))
-    read = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_count(raw, F.lit(_WORD)).cast("long").alias("n_words"), F.when(raw.rlike(_GATE), F.regexp_replace(norm, " +", " ")).alias("_norm"))
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_count(raw, F.lit(_WORD)).cast("long").alias("n_words"), F.when(raw.rlike(gate()), F.regexp_replace(norm, " +", " ")).alias("_norm"))
 
     def hits(norm: Column) -> Column:
         gated = F.filter(_table(), lambda r: F.contains(norm, r["keyword"]))

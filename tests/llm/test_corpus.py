@@ -320,6 +320,40 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200
 
 
+def shortest(parsed):
+    """A shortest text that a parsed pattern matches, without what is optional."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "SUBPATTERN":
+            out += shortest(x[3])
+        elif op == "BRANCH":
+            out += shortest(x[1][0])
+        elif op == "MAX_REPEAT":
+            out += shortest(x[2]) * x[0] if x[0] else ""
+        elif op == "IN":
+            assert str(x[0][0]) == "LITERAL"
+            out += chr(x[0][1])
+        else:
+            raise AssertionError(op)
+    return out
+
+
+def test_licenses_gate_covers_every_rule(spark):
+    """Each rule's text by itself, with other gaps and in capitals, is labelled; so are lines without a frequent word."""
+    from re import _parser
+
+    some = [shortest(_parser.parse(pattern)) for _, _, pattern, _ in licenses.rules()] + [p for p, _ in licenses.BASE]
+    some += [x.replace(" ", " -\n").upper() for x in some]
+    lines = ["Released under MIT.", "provided under the terms of MIT", "3-clause BSD", "2-Clause BSD", "MPL 2.0", "WTFPL", "MIT No Attribution", "Permission to use, copy, modify, and/or distribute this software for any purpose"]
+    rows = list(enumerate([*lines, *some]))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [t for i, t in rows if not got[i].labels or not got[i].score] == []
+    assert [got[i].labels for i in range(len(lines))] == ["mit", "mit", "bsd-3-clause", "bsd-2-clause", "mpl-2", "wtfpl", "mit-0", "isc"]
+
+
 def test_licenses_base_places(docs, texts):
     phrases = [(p.split(), label) for p, label in licenses.BASE]
     for r in licenses.scan(docs).collect():
