@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS = 0.85, 100
+#: Rounds after which the nodes seen, a table for each round, are written as one.
+GATHER = 16
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -84,21 +86,21 @@ def reversed_(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def shortest_path(edges: DataFrame, a, b, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, a, b) -> DataFrame:
     """path: one shortest path from a to b, the smallest of them in order of its nodes; no row if there is none."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     front = spark.range(1).select(F.lit(a).cast(kind).alias("node"), F.array(F.lit(a).cast(kind)).alias("path"))
-    seen = front.select("node")
-    for _ in range(most):
+    seen, rounds = front.select("node"), 0
+    while front.limit(1).count():
         found = front.where(F.col("node") == b)
         if found.limit(1).count():
             return found.select("path").orderBy("path").limit(1)
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         front = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-        if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front.select("node"))
+        seen, rounds = seen.unionByName(front.select("node")), rounds + 1
+        if rounds % GATHER == 0:
+            seen = cut(seen)
     return spark.createDataFrame([], f"path array<{kind}>")
 
 

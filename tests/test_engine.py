@@ -132,6 +132,13 @@ def test_paths(spark):
     assert G.call_chain(e, "A", "D", 2).count() == 0 and G.call_chain(e, "A", "D", 3).count() == 1
 
 
+def test_long_path(spark):
+    """A path of more than 64 steps beside shortcuts that lead nowhere; none the other way."""
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(i, i - 1) for i in range(1, 40)] + [(i, 100 + i) for i in range(70)], "src int, dst int").coalesce(1)
+    assert G.shortest_path(e, 0, 70).first()["path"] == list(range(71))
+    assert G.shortest_path(e, 60, 0).count() == 0
+
+
 def test_cycles(spark):
     assert not G.has_cycle(edges(spark, "AB BC AC"))
     assert G.has_cycle(edges(spark, "AB BA"))
