@@ -115,7 +115,7 @@ def simple_paths(edges: DataFrame, a, depth: int) -> DataFrame:
     return out
 
 
-def call_chain(edges: DataFrame, a, b, depth: int = 5) -> DataFrame:
+def call_chain(edges: DataFrame, a, b, depth: int = 10) -> DataFrame:
     """path: the first simple path from a to b in order of its nodes, within depth steps."""
     return simple_paths(edges, a, depth).where(F.element_at("path", -1) == b).orderBy("path").limit(1)
 

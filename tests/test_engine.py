@@ -139,6 +139,12 @@ def test_long_path(spark):
     assert G.shortest_path(e, 60, 0).count() == 0
 
 
+def test_chain_of_default_depth(spark):
+    e = edges(spark, " ".join("ABCDEFGHIJKL"[i : i + 2] for i in range(11)))
+    assert G.call_chain(e, "A", "K").first()["path"] == list("ABCDEFGHIJK")
+    assert G.call_chain(e, "A", "L").count() == 0
+
+
 def test_cycles(spark):
     assert not G.has_cycle(edges(spark, "AB BC AC"))
     assert G.has_cycle(edges(spark, "AB BA"))
