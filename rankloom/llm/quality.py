@@ -5,7 +5,8 @@ three-word windows.  The table below adds rules on ratios; each has an expressio
 upper bound, and the verdict is their conjunction.  Nothing here runs Python on the executors, nothing is shuffled.
 
 Rules for odd rows: a null text has no words and fails (as an empty one does); a ratio with a zero denominator passes no
-judgement; repeated rows each get the same verdict; further columns of the input don't matter.
+judgement; repeated rows each get the same verdict; further columns of the input don't matter, whatever their names (the
+input's columns travel as one struct).
 Windows are compared by a 64-bit hash of their three words within one text.
 """
 
@@ -72,7 +73,11 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     # Most texts repeat nothing, which a hash set tells; only the others are sorted.
     some = F.size(F.array_distinct("_h")) < F.size("_h")
     placed = hashed.withColumn("_s", F.when(some, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_h")
-    return placed.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), 0).otherwise(_repeats("_s")).cast("long")).drop("_s")
+    repeats = F.when(F.col("_s").isNull(), 0).otherwise(_repeats("_s")).cast("long")
+    names = [c for c in placed.columns if c != "_s"]
+    # The counts go through explode(), below which no filter on them is pushed: pushed down, it would be made of
+    # expressions that evaluate the sorted windows anew for each window.
+    return placed.select(F.explode(F.array(F.struct(*names, repeats.alias("n_repeat_words")))).alias("_m")).select("_m.*")
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:
@@ -101,10 +106,7 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 def keep_good(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("text"))
-    # The verdict goes through explode(), below which no filter is pushed: pushed down, it would be made of expressions
-    # that evaluate the sorted windows anew for each window.
-    judged = measures(row, "_row").select("_row", F.explode(F.array(~base_failed() & verdict(thresholds))).alias("_keep"))
-    return judged.where("_keep").select("_row.*")
+    return measures(row, "_row").where(~base_failed() & verdict(thresholds)).select("_row.*")
 
 
 _RULE_SQL = " AND ".join(
