@@ -13,20 +13,27 @@ next point is later than all components of its text.
    bands (a text that the others are edits of does), and every other node is compared with the centre: as many candidates
    as nodes, whatever the sizes of the groups.
 3. Candidates are verified on whole texts: sum of minima over sum of maxima of the shingles' counts at least ``LEAST``.
-4. Verified links give components.  A node that failed against a centre can still be linked to others of that band which
-   are in other components.  One minus the similarity is a metric, so only those are compared whose distances from the
-   centre differ by what a link allows at most, in the first band that both share, and whose ``COMPONENTS`` signature components agree nearly often enough
-   (``SLACK`` standard deviations below the similarity asked for: 1 link in 100,000 at the threshold is lost, as to bands).
+   Verified links give components.
+4. Two nodes of a band in different components can still be linked, although one of them failed against the centre.  What
+   they differ in from the centre tells: if D(x) is the multiset of shingles in which x and the centre differ, and |x| the
+   number of its shingles, x and y are linked if and only if |D(x)| + |D(y)| - 2 |D(x) and D(y)| <= g (|x| + |y|) with
+   g = (1 - LEAST) / (1 + LEAST).  So linked nodes share a least number of differences, and a prefix filter over them (each
+   node sends only its rarest differences, all but that number less one) misses none of them.  What a large group has in
+   common never is a difference, so that a group does not meet all over again.  Up to ``FEW`` nodes that share one are
+   compared; more are a new band with a centre of its own, and go through 2 to 4 again, until no such band is left.
 5. Components again; a class is named by its smallest doc_id.
 
-At a similarity of 0.8 two texts meet with a probability of 1 - (1 - 0.8 ** 5) ** 25 = 0.99995.
+At a similarity of 0.8 two texts share a band with a probability of 1 - (1 - 0.8 ** 5) ** 25 = 0.99995; no step after that
+loses a link.  Joins on a node, a centre or a band salt what is hot.
 Rules for odd rows: a text without words (null, empty) is in a class of its own; repeated rows and equal texts are one class;
-a null doc_id comes after all others, and a class of only such has a null id; an empty table gives no rows.
+a null doc_id comes after all others, and a class of only such has a null id; an empty table gives no rows; further columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import column, grams, mix64, of_texts, ranges, slabs, window_bounds
-from .runtime import prepare, written
+from .runtime import MOST_HOT, Hot, count_by, prepare, written
 
 SHINGLE, LEAST = 5, 0.8
-#: Bands use the first BANDS * ROWS components; all of them estimate similarities, four bits of each, 16 to an integer.
-BANDS, ROWS, COMPONENTS = 25, 5, 512
-SLACK = 4.3
+BANDS, ROWS = 25, 5
+COMPONENTS = BANDS * ROWS
+#: Up to so many nodes with a common difference are compared with each other; more of them get a centre of their own.
+FEW = 32
 #: Words of the filter that marks involved nodes, 63 bits of each: 16 MiB, whatever the number of nodes.
 SLOTS = 1 << 21
 _U = np.uint64
@@ -104,46 +112,31 @@ def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return out.astype(np.int64)
 
 
-def nibbles(best: np.ndarray) -> np.ndarray:
-    """Four bits of each component, 16 components to an integer."""
-    four = (mix64(np.ascontiguousarray(best).view(_U)) & _U(15)).reshape(len(best), -1, 16)
-    return (four << (_U(4) * np.arange(16, dtype=_U))).sum(axis=2, dtype=_U).astype(np.int64)
+def bags(text_slab) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted hashes, counts) of the shingles of each text."""
+    w = text_slab.words()
+    h, d, n = counted(*shingles(w.hashes(), w.bounds))
+    at = np.searchsorted(d, np.arange(len(text_slab) + 1))
+    return [(h[a:b], n[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
-def agreement(a: str, b: str):
-    """How many components of two columns of nibbles agree."""
-
-    def unlike(x, y):
-        d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
-    return F.lit(COMPONENTS) - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda s, x: s + x)
-
-
-def enough(least: float) -> float:
-    """The least agreement of a pair that may be a link; a sixteenth of unlike components agree by chance."""
-    p = least + (1 - least) / 16
-    return COMPONENTS * (p - SLACK * (p * (1 - p) / COMPONENTS) ** 0.5)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets as (sorted hashes, counts)."""
-    i = np.minimum(np.searchsorted(b[0], a[0]), max(len(b[0]) - 1, 0))
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    both = np.minimum(a[1], np.where(b[0][i] == a[0], b[1][i], 0)).sum()
-    return float(both) / float(a[1].sum() + b[1].sum() - both)
-
-
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    w = of_texts([text]).words()
-    h, _, n = counted(*shingles(w.hashes(), w.bounds))
-    return h, n
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What multiset b differs in from a, an integer for each missing or added copy of a shingle."""
+    h = np.concatenate([a[0], b[0]])
+    n = np.concatenate([-a[1], b[1]]).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, new) if len(new) else n
+    h, some = h[new], n != 0
+    h, n = h[some], n[some]
+    copy = ranges(np.zeros(len(n), np.int64), np.abs(n))
+    at = np.repeat(np.arange(len(n)), np.abs(n))
+    return (mix64(h[at] + copy.astype(_U) * _GOLD + (n[at] > 0).astype(_U)) >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16 bytes of a hash of the words; null without words), bands, four (all components, four bits each)."""
+    """doc_id, node (16 bytes of a hash of the words; null without words), bands."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -151,32 +144,58 @@ def sketch(docs: DataFrame) -> DataFrame:
             for s in slabs(column(batch, "text")):
                 w = s.words()
                 node = [hashlib.md5(b" ".join(s.text(i).split()), usedforsecurity=False).digest() if n else None for i, n in enumerate(w.counts)]
-                best = signatures(*counted(*shingles(w.hashes(), w.bounds)), len(s))
-                keys, four = band_keys(best), nibbles(best)
+                keys = band_keys(signatures(*counted(*shingles(w.hashes(), w.bounds)), len(s)))
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(s.first, len(s)), pa.array(node, pa.binary()), bands, pa.ListArray.from_arrays(np.arange(0, four.size + 1, four.shape[1], dtype=np.int32), four.ravel())], names=["doc_id", "node", "bands", "four"])
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(s.first, len(s)), pa.array(node, pa.binary()), bands], names=["doc_id", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>, four array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
+
 
+def centred(met: DataFrame) -> DataFrame:
+    """node, centres, is_centre of the nodes that meet others in a band; met has (band, node) rows.
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, sim, ok of candidate pairs (a, b) of nodes, by their texts (node, text)."""
-    full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
+    Rows of a band that many nodes share are salted for both joins with what is known of the band."""
+    crowd = written(count_by(met, "band").where("_n > 1"), "crowds")
+    hot = Hot(crowd, "band")
+    per = written(hot.join(met, crowd, "node").groupBy("node").agg(F.sum("_n").alias("_s"), F.collect_set("band").alias("bands")), "crowded")
+    each = per.select("node", "_s", F.explode("bands").alias("band"))
+    centre = each.groupBy("band").agg(F.max(F.struct("_s", "node"))["node"].alias("centre"))
+    own = hot.join(each, centre, "node").groupBy("node").agg(F.collect_set("centre").alias("centres"))
+    return written(own.select("node", F.array_except("centres", F.array("node")).alias("centres"), F.array_contains("centres", F.col("node")).alias("is_centre")), "centred")
+
+
+def compared(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """a, b, b_centre, na, nb (shingles), diff, ok of pairs (a, b, _tb, b_centre) with the texts (a, _ta)."""
+    hot = Hot(count_by(pairs.select("a"), "a"), "a")
+    full = hot.join(pairs, heads, "b").select("a", "b", "b_centre", "_ta", "_tb")
 
     def run(batches):
         last, one = None, None
         for batch in batches:
-            a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
-            ta, tb = column(batch, "_ta"), column(batch, "_tb")
-            ok = []
-            for i, x in enumerate(a):
-                if x != last:
-                    last, one = x, bag(ta[i].as_py())
-                ok.append(similarity(one, bag(tb[i].as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ok, pa.float64())], names=["a", "b", "sim"])
-
-    return full.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary, sim double").withColumn("ok", F.col("sim") >= least)
+            a, ta = column(batch, "a").to_pylist(), column(batch, "_ta")
+            for s in slabs(column(batch, "_tb")):
+                na, nb, diffs = [], [], []
+                for i, own in enumerate(bags(s)):
+                    if a[s.first + i] != last:
+                        last, one = a[s.first + i], bags(next(slabs(ta.slice(s.first + i, 1))))[0]
+                    na.append(int(one[1].sum()))
+                    nb.append(int(own[1].sum()))
+                    diffs.append(difference(one, own))
+                size = np.array([len(x) for x in diffs])
+                both = (np.array(na) + nb - size) // 2
+                ok = (both > 0) & (both >= least * (np.array(na) + nb - both))
+                kept = [column(batch, c).slice(s.first, len(s)) for c in ("a", "b", "b_centre")]
+                diff = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate([*diffs, np.zeros(0, np.int32)]))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), diff, pa.array(ok)], names=["a", "b", "b_centre", "na", "nb", "diff", "ok"])
+
+    return written(full.mapInArrow(run, "a binary, b binary, b_centre boolean, na long, nb long, diff array<int>, ok boolean"), "compared")
+
+
+def stars(placed: DataFrame, least: float) -> DataFrame:
+    """compared() of each node with its centres; placed has node, text, centres, is_centre."""
+    pairs = placed.select(F.explode("centres").alias("a"), F.col("node").alias("b"), F.col("text").alias("_tb"), F.col("is_centre").alias("b_centre"))
+    return compared(pairs, placed.where("is_centre").select(F.col("node").alias("a"), F.col("text").alias("_ta")), least)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,64 +204,165 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest root among neighbours and then follows roots once, so that paths halve; every round is
     written, and it ends when nothing changes."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    hot = Hot(count_by(both, "b"), "b")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select("node", F.least("node", "_m").alias("root")), "roots")
     while True:
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
+        near = hot.join(both, roots.select(F.col("node").alias("b"), "root"), "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
         step = roots.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("_r"))
-        step = step.join(roots.select(F.col("node").alias("_r"), F.col("root").alias("_rr")), "_r").select("node", "_old", F.least("_r", "_rr").alias("root"))
-        step = written(step, "roots")
+        own = Hot(count_by(step, "_r"), "_r") if not hot.none else hot
+        follow = roots.select(F.col("node").alias("_r"), F.col("root").alias("_rr"))
+        step = own.join(step, follow, "node") if not hot.none else step.join(follow, "_r")
+        step = written(step.select("node", "_old", F.least("_r", "_rr").alias("root")), "roots")
         changed = step.where(F.col("root") != F.col("_old")).limit(1).count()
         roots = step.select("node", "root")
         if not changed:
             return roots
 
 
+class Links:
+    """Verified links, and the component of each linked node.
+
+    Most links are between a centre and its leaves.  A leaf that is no centre itself stands under the smallest of its
+    centres, and components are found among the centres only."""
+
+    def __init__(self, seen: DataFrame):
+        ok = seen.where("ok")
+        own = ok.groupBy("b").agg(F.collect_set("a").alias("_as"), F.max("b_centre").alias("_c"))
+        self.homes = written(own.select(F.col("b").alias("node"), F.when(F.col("_c"), F.col("b")).otherwise(F.array_min("_as")).alias("key"), "_as"), "homes")
+        self.heads = ok.select(F.col("a").alias("node"), F.col("a").alias("key")).distinct()
+        self.edges = self.homes.select(F.col("key").alias("a"), F.explode("_as").alias("b")).where("a != b").distinct()
+        self._solve()
+
+    def _solve(self) -> None:
+        self.edges = written(self.edges, "edges")
+        base = self.homes.select("node", "key").unionByName(self.heads)
+        if not self.edges.limit(1).count():
+            self.labels = written(base.distinct().withColumnRenamed("key", "root"), "labels")
+            return
+        roots = components(self.edges)
+        base = written(base.unionByName(roots.select("node", F.col("node").alias("key"))).distinct(), "keys")
+        named = Hot(count_by(base, "key"), "key").join(base, roots.withColumnRenamed("node", "key"), "node", "left")
+        self.labels = written(named.select("node", F.coalesce("root", "key").alias("root")), "labels")
+
+    def add(self, more: DataFrame) -> None:
+        """More links (a, b), between any nodes."""
+        keys = self.homes.select("node", "key")
+        more = written(more.join(keys.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("key", "b").alias("b")).distinct(), "more")
+        more = Hot(count_by(more, "a"), "a").join(more, keys.withColumnRenamed("node", "a"), "b", "left").select(F.coalesce("key", "a").alias("a"), "b").where("a != b")
+        heads = more.select(F.explode(F.array("a", "b")).alias("node"))
+        self.edges = self.edges.unionByName(more).distinct()
+        self.heads = self.heads.unionByName(heads.select("node", F.col("node").alias("key"))).distinct()
+        self._solve()
+
+
+def _hot_differences(mem: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, numbers) of the differences that most nodes of a centre have, sorted by key; at most MOST_HOT."""
+    each = count_by(mem.select(F.explode("diff").alias("e"), "a").select(F.xxhash64("a", "e").alias("band")), "band")
+    some = written(each.where(F.col("_n") > FEW), "differences")
+    total = some.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    got = some.where(F.col("_n") > total // MOST_HOT).toArrow()
+    order = np.argsort(got.column("band").to_numpy())
+    return got.column("band").to_numpy()[order], got.column("_n").to_numpy()[order]
+
+
+def unsettled(seen: DataFrame, links: Links, least: float) -> DataFrame | None:
+    """band, node, n, d, alpha, open, root: the prefixes of the differences of nodes that may have links which their
+    centres don't show, a row for each difference; and, as bands of two rows, of nodes that surely are linked.  None if
+    there are no such nodes.
+
+    alpha = |D| - g n; two nodes are linked if they share at least half the sum of their alphas."""
+    g = (1 - least) / (1 + least)
+    failed = written(seen.where("NOT ok").select("a", "b"), "failed")
+    if not failed.limit(1).count():
+        return None
+    root_b = links.labels.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
+    root_a = links.labels.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
+    apart = failed.join(root_b, "b", "left").select("a", "b", F.coalesce("_rb", "b").alias("_rb"))
+    apart = Hot(count_by(failed, "a"), "a").join(apart, root_a, "b", "left").where(F.col("_rb") != F.coalesce("_ra", "a"))
+    centres = written(apart.groupBy("a").agg(F.first(F.coalesce("_ra", "a")).alias("_ra")), "open")
+    if not centres.limit(1).count():
+        return None
+    hot = Hot(count_by(seen.select("a"), "a"), "a")
+    mem = hot.join(seen, centres, "b").join(root_b, "b", "left").withColumn("root", F.coalesce("_rb", "b"))
+    mem = written(mem.select("a", "b", F.col("nb").alias("n"), F.size("diff").cast("long").alias("d"), "diff", "root", (F.col("root") != F.col("_ra")).alias("open"), (F.size("diff") - g * F.col("nb")).alias("alpha")), "members")
+    # A centre all of whose nodes but one are settled by it has nothing more to tell.
+    lows = mem.groupBy("a").agg(F.min("alpha").alias("_low"), F.min(F.when(F.col("open"), F.col("alpha"))).alias("_open"), F.min(F.struct("alpha", "b"))["b"].alias("_y"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    mem = written(hot.join(mem, lows, "b"), "members")
+    shared = mem.sparkSession.sparkContext.broadcast(_hot_differences(mem))
+    sure = (F.col("alpha") + F.col("_low") <= 1e-9) & F.col("open")
+    with_keys = mem.withColumn("bands", F.expr("transform(diff, e -> xxhash64(a, e))")).withColumn("sure", F.when(sure & (F.col("b") != F.col("_y")), F.col("_y")))
+
+    def run(batches):
+        keys, number = shared.value
+        for batch in batches:
+            alpha, low, open_, d = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("alpha", "_low", "open", "d"))
+            low_open = column(batch, "_open").to_numpy(zero_copy_only=False)
+            need = np.maximum(np.ceil((alpha + np.where(open_, low, low_open)) / 2 - 1e-9), 1).astype(np.int64)
+            ends = column(batch, "bands").offsets.to_numpy()
+            bands = column(batch, "bands").values.to_numpy()
+            at, out = [], []
+            for i in range(len(batch)):
+                own = bands[ends[i] : ends[i + 1]]
+                take = int(d[i] - need[i] + 1)
+                if take > 0:
+                    where = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                    often = np.where(keys[where] == own, number[where], 0) if len(keys) else np.zeros(len(own))
+                    out.append(np.unique(own[np.lexsort((own, often))[:take]]))
+                    at.append(np.full(len(out[-1]), i))
+            at, out = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*out, np.zeros(0, np.int64)])
+            place = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(out), *(column(batch, c).take(place) for c in ("b", "n", "d", "alpha", "open", "root"))], names=["band", "node", "n", "d", "alpha", "open", "root"])
+
+    kinds = "band long, node binary, n long, d long, alpha double, open boolean, root binary"
+    prefix = with_keys.select("bands", "b", "n", "d", "alpha", "open", "root", "_low", "_open").mapInArrow(run, kinds)
+    close = with_keys.where("sure IS NOT NULL").select(F.xxhash64("b", "sure", F.lit("sure")).alias("band"), F.explode(F.array("b", "sure")).alias("node"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("alpha"), (F.col("node") == F.col("b")).alias("open"), F.when(F.col("node") == F.col("b"), F.col("root")).otherwise(F.lit(b"")).alias("root"))
+    return written(prefix.unionByName(close), "prefixes")
+
+
+def groups(prefix: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b of nodes that share a difference with few others; met rows of the differences that many share)."""
+    g = (1 - least) / (1 + least)
+    crowd = written(prefix.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.max("open").alias("_o"), F.min("root").alias("_r1"), F.max("root").alias("_r2")).where("_n > 1 AND _o AND _r1 != _r2").select("band", "_n"), "differing")
+    met = written(Hot(crowd, "band").join(prefix, crowd, "node"), "differing")
+    few = met.where(F.col("_n") <= FEW)
+    side = lambda x: few.select("band", F.col("node").alias(x), *(F.col(c).alias(f"_{c}{x}") for c in ("n", "d", "alpha", "open", "root")))
+    both = side("a").join(side("b"), "band")
+    once = (F.col("a") != F.col("b")) & F.col("_opena") & (~F.col("_openb") | (F.col("a") < F.col("b")))
+    sizes = (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb")) & ((F.col("_alphaa") + F.col("_alphab")) / 2 <= F.least("_da", "_db") + 1e-9)
+    pairs = both.where(once & (F.col("_roota") != F.col("_rootb")) & sizes).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+    return written(pairs, "pairs"), met.where(F.col("_n") > FEW).select("band", "node")
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_links (verified links of its text), node."""
-    rows = written(sketch(docs), "sketch")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("four").alias("four"), F.min("doc_id").alias("first_id")), "nodes")
-    met = nodes.select("node", F.explode("bands").alias("band"))
-    crowd = written(met.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "crowds")
-    met = written(met.join(crowd, "band"), "met")
-    rank = met.groupBy("node").agg(F.sum("_n").alias("_s"))
-    centre = met.select("band", "node").join(rank, "node").groupBy("band").agg(F.max(F.struct("_s", "node"))["node"].alias("centre"))
-    met = written(met.select("band", "node").join(centre, "band"), "met")
-    pairs = written(met.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "involved")
-    texts = written(_texts(docs, involved), "texts")
-    seen = written(verified(pairs, texts, least), "verified")
-    roots = components(seen.where("ok"))
-    found = roots.select("node", "root")
-    far = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d"))
-    root_of = lambda df: df.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = root_of(met.join(far, ["centre", "node"]))
-    # Only bands with a failed node can have more to compare.
-    open_ = apart.groupBy("band").agg(F.max("d").alias("_far"), F.count(F.lit(1)).alias("_m")).where((F.col("_far") > 1 - least) & (F.col("_m") > 1)).select("band")
-    apart = written(apart.join(open_, "band", "left_semi").join(nodes.select("node", "four", "bands"), "node"), "apart")
-    hair = 1e-9
-    # A failed node farther than two links from a centre has none with the centre's class; with other failed nodes it may.
-    a = apart.where(F.col("d") > 1 - least + hair).select("band", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("d").alias("_da"), F.col("four").alias("_fa"), F.col("bands").alias("_ba"))
-    b = apart.select("band", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("d").alias("_db"), F.col("four").alias("_fb"), F.col("bands").alias("_bb"))
-    near = (F.abs(F.col("_da") - F.col("_db")) <= 1 - least + hair) & (F.col("_ra") != F.col("_rb"))
-    once = (F.col("_db") <= 1 - least + hair) | (F.col("a") < F.col("b"))
-    # Two nodes often share several bands; the first one brings them.  All tests but this one hold in each of their bands if
-    # they are linked (a band where one of them is the centre has compared them), so that no link is lost.
-    first = a["band"] == F.element_at(F.filter(F.zip_with("_ba", "_bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    more = a.join(b, (a["band"] == b["band"]) & near & once & first & (agreement("_fa", "_fb") >= enough(least)))
-    more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
-    if more.limit(1).count():
-        again = written(verified(more, texts, least), "verified")
-        links = seen.where("ok").unionByName(again.where("ok"))
-        if again.where("ok").limit(1).count():
-            roots = components(links)
-    else:
-        links = seen.where("ok")
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_node = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
-    named_class = of_node.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    label = written(of_node.join(named_class, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
-    joined = rows.select("doc_id", "node").join(label, "node", "left")
-    return joined.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
+    """doc_id, class_id: the smallest doc_id of its class."""
+    rows = written(sketch(docs.select("doc_id", "text")), "sketch")
+    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
+    placed = written(_texts(docs, centred(nodes.select("node", F.explode("bands").alias("band")))), "texts")
+    texts = placed.select("node", "text")
+    seen = stars(placed, least)
+    links = Links(seen)
+    while (prefix := unsettled(seen, links, least)) is not None:
+        pairs, met = groups(prefix, least)
+        found = []
+        if pairs.limit(1).count():
+            sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b").withColumn("b_centre", F.lit(False))
+            found.append(compared(sides, texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), least))
+        if more := met.limit(1).count():
+            seen = stars(written(texts.join(centred(met), "node"), "texts"), least)
+            found.append(seen)
+        new = [x.where("ok").select("a", "b") for x in found]
+        if any(x.limit(1).count() for x in new):
+            links.add(reduce(DataFrame.unionByName, new))
+        if not more:
+            break
+    linked = links.labels.join(nodes.select("node", "first_id"), "node")
+    of_root = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    label = Hot(count_by(links.labels, "root"), "root").join(links.labels, of_root, "node").select("node", "class_id")
+    shared = nodes.where("copies > 1").select("node", "first_id", F.col("copies").alias("_n"))
+    both = written(shared.join(label, "node", "full_outer").select("node", F.coalesce("class_id", "first_id").alias("class_id")), "labels")
+    alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    named = Hot(shared, "node").join(rows.where("node IS NOT NULL").select("doc_id", "node"), both.withColumn("_in", F.lit(True)), "doc_id", "left")
+    return named.select("doc_id", F.when(F.col("_in"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")).unionByName(alone)
 
 
 def _mark(node: bytes) -> tuple[int, int]:
@@ -269,10 +389,9 @@ def _marks(involved: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """node, text: one text of each involved node; a copy that a task has sent already isn't sent again.
+    """The rows of ``involved`` and one text of each node; a copy that a task has sent already isn't sent again.
 
     The filter keeps most other texts from being shuffled; the join decides, so that a full filter costs time only."""
-    node = F.col("node")
     shared = docs.sparkSession.sparkContext.broadcast(_marks(involved))
 
     def run(batches):
@@ -291,16 +410,17 @@ def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
                             nodes.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), column(batch, "text").take(pa.array(at, pa.int64()))], names=["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node binary, text string").join(involved, "node", "left_semi").groupBy(node).agg(F.min("text").alias("text"))
+    one = docs.select("text").mapInArrow(run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
+    return one.join(involved, "node")
 
 
 def report(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, n_links of every document."""
-    return classes(docs, least).select("doc_id", "class_id", "n_links")
+    """doc_id, class_id of every document."""
+    return classes(docs, least)
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents with the smallest doc_id of their class, with their columns as they were; rows without id stay."""
-    keep = classes(docs, least).where("doc_id = class_id OR doc_id IS NULL").select("doc_id").distinct()
+    keep = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     return named.unionByName(docs.where("doc_id IS NULL"))

@@ -45,6 +45,50 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with more rows than this is salted; more than MOST_HOT keys never are, so that their table can be broadcast.
+HOT, MOST_HOT = 2000, 100_000
+
+
+class Hot:
+    """The keys of some rows that have many of them, and into how many salts each is split.
+
+    A hot key has more than max(HOT, rows / MOST_HOT) rows, so there are at most MOST_HOT such keys: a bounded broadcast.
+    ``counts`` has a row for each key, with its number of rows in ``n``."""
+
+    def __init__(self, counts: DataFrame, key: str, n: str = "_n"):
+        self.key = key
+        total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+        bar = max(HOT, total // MOST_HOT)
+        self.none = total <= bar
+        if self.none:
+            return
+        big = counts.where((F.col(n) > bar) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / bar).cast("int").alias("_salts"))
+        self.big = written(big, "hot")
+        self.none = not self.big.limit(1).count()
+
+    def _with(self, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(self.big), F.col(self.key) == F.col("_hot"), "left").drop("_hot")
+
+    def split(self, rows: DataFrame, by: str) -> DataFrame:
+        """The many rows of a key, with a ``_salt`` from another column."""
+        if self.none:
+            return rows.withColumn("_salt", F.lit(0))
+        return self._with(rows).withColumn("_salt", F.pmod(F.hash(by), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """The one row of a key, once for each of its salts."""
+        if self.none:
+            return rows.withColumn("_salt", F.lit(0))
+        return self._with(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
+    def join(self, many: DataFrame, one: DataFrame, by: str, how: str = "inner") -> DataFrame:
+        return self.split(many, by).join(self.spread(one), [self.key, "_salt"], how).drop("_salt")
+
+
+def count_by(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def row_key(doc_id, text):
     """A 64-bit key of a row by its id and text: rows that are equal in both are one document."""
     return F.xxhash64(doc_id, text)
