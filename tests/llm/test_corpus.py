@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -128,6 +129,39 @@ def test_near_duplicate_chains(spark):
     assert {x.doc_id: x.class_id for x in neardup.report(df).collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_without_their_original(spark, monkeypatch):
+    """Edits of texts that aren't there: few of them are linked, and a centre tells little; hot keys are salted."""
+    from rankloom.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT", 10)
+    monkeypatch.setattr(neardup, "FEW", 3)
+    r, rows = random.Random(11), {}
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(40 + 10 * g)]
+        variants = [(r.randrange(len(base)), f"v{g}{v}") for v in range(3)]
+        for k in range(30):
+            t = list(base)
+            for _ in range(1 + k % 3):
+                t[r.randrange(len(t))] = f"n{r.randrange(10**6)}"
+            for at, w in r.sample(variants, k % 3):
+                t[at] = w
+            rows[100 * g + k] = " ".join(t)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in neardup.report(df).collect()}
+    assert got == brute_classes(rows) and 10 < len(set(got.values())) < len(rows)
+
+
+def test_differences():
+    """|D(x)| + |D(y)| - 2 |D(x) and D(y)| is the number of shingles in which x and y differ."""
+    r = random.Random(2)
+    for _ in range(30):
+        c, x, y = (" ".join(r.choice("abc") for _ in range(r.randint(5, 40))) for _ in range(3))
+        C, X, Y = neardup.bags(blocks.of_texts([c, x, y]))
+        dx, dy = Counter(neardup.difference(C, X).tolist()), Counter(neardup.difference(C, Y).tolist())
+        bx, by = bag(x), bag(y)
+        assert dx.total() + dy.total() - 2 * (dx & dy).total() == ((bx - by) + (by - bx)).total() == len(neardup.difference(X, Y))
+
+
 def test_near_duplicates_odd(odd):
     got = sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.report(odd).collect())
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (5, 5), (6, 6)]
@@ -367,6 +401,13 @@ def test_licenses_base_places(docs, texts):
         assert (r.first_word, r.last_word) == ((at[0][0], at[-1][0]) if at else (None, None))
 
 
+def test_quality_filters_end(docs):
+    """A filter on the operator's columns isn't pushed below its windows."""
+    began = time.time()
+    assert 0 < quality.judge(docs).where("kept AND n_repeat_words >= 0").count() < 200
+    assert time.time() - began < 30
+
+
 def test_quality_odd(odd):
     rows = quality.judge(odd).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows)
