@@ -14,13 +14,17 @@ next point is later than all components of its text.
    as nodes, whatever the sizes of the groups.
 3. Candidates are verified on whole texts: sum of minima over sum of maxima of the shingles' counts at least ``LEAST``.
    Verified links give components.
-4. Two nodes of a band in different components can still be linked, although one of them failed against the centre.  What
-   they differ in from the centre tells: if D(x) is the multiset of shingles in which x and the centre differ, and |x| the
-   number of its shingles, x and y are linked if and only if |D(x)| + |D(y)| - 2 |D(x) and D(y)| <= g (|x| + |y|) with
-   g = (1 - LEAST) / (1 + LEAST).  So linked nodes share a least number of differences, and a prefix filter over them (each
-   node sends only its rarest differences, all but that number less one) misses none of them.  What a large group has in
-   common never is a difference, so that a group does not meet all over again.  Up to ``FEW`` nodes that share one are
-   compared; more are a new band with a centre of its own, and go through 2 to 4 again, until no such band is left.
+4. Two nodes of a band in different components can still be linked, although one of them, x, failed against the centre c.
+   What they differ in from c tells: if D(x) is the multiset of shingles in which x and c differ, and |x| the number of its
+   shingles, x and y are linked if and only if |D(x)| + |D(y)| - 2 |D(x) and D(y)| <= g (|x| + |y|) with
+   g = (1 - LEAST) / (1 + LEAST).  Of D(y), (|D(y)| - |y| + |c|) / 2 are shingles that y lacks; so linked nodes share at
+   least (|D(x)| - g |x| - |c| + (1 - g) |y|) / 2 shingles that c lacks.  A prefix filter over these (each node sends its
+   rarest ones, all but that number less one) misses none of them, and edits that others haven't made meet nobody: what a
+   large group has in common never is a difference.  Where y is so short that the bound is 0 or less, the two share
+   shingles of c that they lack, and the same filter is over those.  Nodes whose bound on the whole is 0 or less are linked.
+   Where up to ``FEW`` nodes outside the centre's component have a difference, they are compared with all that have it;
+   more are a new band with a centre of its own, and go through 2 to 4 again, until no such band is left.  A node's hub is
+   its centre that meets most; two nodes with the same hub are left to that.
 5. Components again; a class is named by its smallest doc_id.
 
 At a similarity of 0.8 two texts share a band with a probability of 1 - (1 - 0.8 ** 5) ** 25 = 0.99995; no step after that
@@ -47,8 +51,12 @@ from .runtime import MOST_HOT, Hot, count_by, prepare, written
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
-#: Up to so many nodes with a common difference are compared with each other; more of them get a centre of their own.
-FEW = 32
+#: Up to so many open nodes with a common difference are compared with all that have it; more get a centre of their own.
+FEW = 128
+#: A pair that must share so many differences or more is a candidate only if it does
+SEVERAL = 40
+#: Up to so many links (16 MB) are joined up by one task.
+ONE_TASK = 500_000
 #: Words of the filter that marks involved nodes, 63 bits of each: 16 MiB, whatever the number of nodes.
 SLOTS = 1 << 21
 _U = np.uint64
@@ -121,7 +129,7 @@ def bags(text_slab) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """What multiset b differs in from a, an integer for each missing or added copy of a shingle."""
+    """What multiset b differs in from a, an integer for each copy of a shingle: even if it is missing, odd if added."""
     h = np.concatenate([a[0], b[0]])
     n = np.concatenate([-a[1], b[1]]).astype(np.int64)
     order = np.argsort(h, kind="stable")
@@ -132,7 +140,7 @@ def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     h, n = h[some], n[some]
     copy = ranges(np.zeros(len(n), np.int64), np.abs(n))
     at = np.repeat(np.arange(len(n)), np.abs(n))
-    return (mix64(h[at] + copy.astype(_U) * _GOLD + (n[at] > 0).astype(_U)) >> _U(32)).astype(np.uint32).view(np.int32)
+    return ((mix64(h[at] + copy.astype(_U) * _GOLD) >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | (n[at] > 0)).astype(np.uint32).view(np.int32)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -153,22 +161,22 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def centred(met: DataFrame) -> DataFrame:
-    """node, centres, is_centre of the nodes that meet others in a band; met has (band, node) rows.
+    """node, centres, is_centre, hub (its centre that meets most) of the nodes that meet others; met has (band, node) rows.
 
     Rows of a band that many nodes share are salted for both joins with what is known of the band."""
     crowd = written(count_by(met, "band").where("_n > 1"), "crowds")
-    hot = Hot(crowd, "band")
+    hot = Hot(crowd, "band", "_n")
     per = written(hot.join(met, crowd, "node").groupBy("node").agg(F.sum("_n").alias("_s"), F.collect_set("band").alias("bands")), "crowded")
     each = per.select("node", "_s", F.explode("bands").alias("band"))
-    centre = each.groupBy("band").agg(F.max(F.struct("_s", "node"))["node"].alias("centre"))
-    own = hot.join(each, centre, "node").groupBy("node").agg(F.collect_set("centre").alias("centres"))
-    return written(own.select("node", F.array_except("centres", F.array("node")).alias("centres"), F.array_contains("centres", F.col("node")).alias("is_centre")), "centred")
+    centre = each.groupBy("band").agg(F.max(F.struct("_s", "node")).alias("c")).select("band", "c", F.col("c.node").alias("centre"))
+    own = hot.join(each.select("band", "node"), centre, "node").groupBy("node").agg(F.collect_set("centre").alias("centres"), F.max("c")["node"].alias("hub"))
+    return written(own.select("node", F.array_except("centres", F.array("node")).alias("centres"), F.array_contains("centres", F.col("node")).alias("is_centre"), "hub"), "centred")
 
 
 def compared(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
-    """a, b, b_centre, na, nb (shingles), diff, ok of pairs (a, b, _tb, b_centre) with the texts (a, _ta)."""
-    hot = Hot(count_by(pairs.select("a"), "a"), "a")
-    full = hot.join(pairs, heads, "b").select("a", "b", "b_centre", "_ta", "_tb")
+    """a, b, b_centre, hub, na, nb (shingles), diff, ok of pairs (a, b, _tb, b_centre, hub) with the texts (a, _ta)."""
+    hot = Hot(pairs.select("a"), "a")
+    full = hot.join(pairs, heads, "b").select("a", "b", "b_centre", "hub", "_ta", "_tb")
 
     def run(batches):
         last, one = None, None
@@ -185,31 +193,51 @@ def compared(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
                 size = np.array([len(x) for x in diffs])
                 both = (np.array(na) + nb - size) // 2
                 ok = (both > 0) & (both >= least * (np.array(na) + nb - both))
-                kept = [column(batch, c).slice(s.first, len(s)) for c in ("a", "b", "b_centre")]
+                kept = [column(batch, c).slice(s.first, len(s)) for c in ("a", "b", "b_centre", "hub")]
                 diff = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate([*diffs, np.zeros(0, np.int32)]))
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), diff, pa.array(ok)], names=["a", "b", "b_centre", "na", "nb", "diff", "ok"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), diff, pa.array(ok)], names=["a", "b", "b_centre", "hub", "na", "nb", "diff", "ok"])
 
-    return written(full.mapInArrow(run, "a binary, b binary, b_centre boolean, na long, nb long, diff array<int>, ok boolean"), "compared")
+    return written(full.mapInArrow(run, "a binary, b binary, b_centre boolean, hub binary, na long, nb long, diff array<int>, ok boolean"), "compared")
 
 
 def stars(placed: DataFrame, least: float) -> DataFrame:
     """compared() of each node with its centres; placed has node, text, centres, is_centre."""
-    pairs = placed.select(F.explode("centres").alias("a"), F.col("node").alias("b"), F.col("text").alias("_tb"), F.col("is_centre").alias("b_centre"))
+    pairs = placed.select(F.explode("centres").alias("a"), F.col("node").alias("b"), F.col("text").alias("_tb"), F.col("is_centre").alias("b_centre"), "hub")
     return compared(pairs, placed.where("is_centre").select(F.col("node").alias("a"), F.col("text").alias("_ta")), least)
 
 
+def _united(batches):
+    """(node, root) of the links of one task, by union and find."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of each linked node's component.
 
-    Each round takes the smallest root among neighbours and then follows roots once, so that paths halve; every round is
-    written, and it ends when nothing changes."""
+    Up to ``ONE_TASK`` links are joined up by one task.  More take rounds: each takes the smallest root among neighbours and
+    then follows roots once, so that paths halve; every round is written, and it ends when nothing changes."""
+    links = written(links.select("a", "b").distinct(), "links")
+    if links.count() <= ONE_TASK:
+        return written(links.coalesce(1).mapInArrow(_united, "node binary, root binary"), "roots")
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    hot = Hot(count_by(both, "b"), "b")
+    hot = Hot(both, "b")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select("node", F.least("node", "_m").alias("root")), "roots")
     while True:
         near = hot.join(both, roots.select(F.col("node").alias("b"), "root"), "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
         step = roots.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("_r"))
-        own = Hot(count_by(step, "_r"), "_r") if not hot.none else hot
+        own = Hot(step, "_r") if not hot.none else hot
         follow = roots.select(F.col("node").alias("_r"), F.col("root").alias("_rr"))
         step = own.join(step, follow, "node") if not hot.none else step.join(follow, "_r")
         step = written(step.select("node", "_old", F.least("_r", "_rr").alias("root")), "roots")
@@ -241,36 +269,38 @@ class Links:
             return
         roots = components(self.edges)
         base = written(base.unionByName(roots.select("node", F.col("node").alias("key"))).distinct(), "keys")
-        named = Hot(count_by(base, "key"), "key").join(base, roots.withColumnRenamed("node", "key"), "node", "left")
+        named = Hot(base, "key").join(base, roots.withColumnRenamed("node", "key"), "node", "left")
         self.labels = written(named.select("node", F.coalesce("root", "key").alias("root")), "labels")
 
     def add(self, more: DataFrame) -> None:
         """More links (a, b), between any nodes."""
         keys = self.homes.select("node", "key")
         more = written(more.join(keys.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("key", "b").alias("b")).distinct(), "more")
-        more = Hot(count_by(more, "a"), "a").join(more, keys.withColumnRenamed("node", "a"), "b", "left").select(F.coalesce("key", "a").alias("a"), "b").where("a != b")
+        more = Hot(more, "a").join(more, keys.withColumnRenamed("node", "a"), "b", "left").select(F.coalesce("key", "a").alias("a"), "b").where("a != b")
         heads = more.select(F.explode(F.array("a", "b")).alias("node"))
         self.edges = self.edges.unionByName(more).distinct()
         self.heads = self.heads.unionByName(heads.select("node", F.col("node").alias("key"))).distinct()
         self._solve()
 
 
-def _hot_differences(mem: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, numbers) of the differences that most nodes of a centre have, sorted by key; at most MOST_HOT."""
-    each = count_by(mem.select(F.explode("diff").alias("e"), "a").select(F.xxhash64("a", "e").alias("band")), "band")
+def _hot_differences(mem: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, numbers, how many shared ones to ask for) of the differences that most open nodes of a centre have, sorted by
+    key; at most MOST_HOT."""
+    each = count_by(mem.where("open").select(F.explode("diff").alias("e"), "a").select(F.xxhash64("a", "e").alias("band")), "band")
     some = written(each.where(F.col("_n") > FEW), "differences")
     total = some.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     got = some.where(F.col("_n") > total // MOST_HOT).toArrow()
     order = np.argsort(got.column("band").to_numpy())
-    return got.column("band").to_numpy()[order], got.column("_n").to_numpy()[order]
+    # Without all of them, shared differences can't be counted, and one must do.
+    return got.column("band").to_numpy()[order], got.column("_n").to_numpy()[order], SEVERAL if total // MOST_HOT <= FEW else 1
 
 
 def unsettled(seen: DataFrame, links: Links, least: float) -> DataFrame | None:
-    """band, node, n, d, alpha, open, root: the prefixes of the differences of nodes that may have links which their
-    centres don't show, a row for each difference; and, as bands of two rows, of nodes that surely are linked.  None if
-    there are no such nodes.
-
-    alpha = |D| - g n; two nodes are linked if they share at least half the sum of their alphas."""
+    """The prefixes of the differences of nodes that may have links which their centres don't show, a row for each
+    difference: band, node, n, plus, minus (shingles that it has and lacks beside its centre), c (those of the centre),
+    open, root, hub, cid (the centre), add (whether the difference is one of plus), often (how many of the prefix's differences
+    many nodes have), most (how many shared ones are asked for), many; and, as bands of two rows, nodes that surely are
+    linked.  None if there are no such nodes."""
     g = (1 - least) / (1 + least)
     failed = written(seen.where("NOT ok").select("a", "b"), "failed")
     if not failed.limit(1).count():
@@ -278,59 +308,90 @@ def unsettled(seen: DataFrame, links: Links, least: float) -> DataFrame | None:
     root_b = links.labels.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
     root_a = links.labels.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
     apart = failed.join(root_b, "b", "left").select("a", "b", F.coalesce("_rb", "b").alias("_rb"))
-    apart = Hot(count_by(failed, "a"), "a").join(apart, root_a, "b", "left").where(F.col("_rb") != F.coalesce("_ra", "a"))
+    apart = Hot(failed, "a").join(apart, root_a, "b", "left").where(F.col("_rb") != F.coalesce("_ra", "a"))
     centres = written(apart.groupBy("a").agg(F.first(F.coalesce("_ra", "a")).alias("_ra")), "open")
     if not centres.limit(1).count():
         return None
-    hot = Hot(count_by(seen.select("a"), "a"), "a")
+    hot = Hot(seen.select("a"), "a")
     mem = hot.join(seen, centres, "b").join(root_b, "b", "left").withColumn("root", F.coalesce("_rb", "b"))
-    mem = written(mem.select("a", "b", F.col("nb").alias("n"), F.size("diff").cast("long").alias("d"), "diff", "root", (F.col("root") != F.col("_ra")).alias("open"), (F.size("diff") - g * F.col("nb")).alias("alpha")), "members")
-    # A centre all of whose nodes but one are settled by it has nothing more to tell.
-    lows = mem.groupBy("a").agg(F.min("alpha").alias("_low"), F.min(F.when(F.col("open"), F.col("alpha"))).alias("_open"), F.min(F.struct("alpha", "b"))["b"].alias("_y"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    mem = written(mem.select("a", "b", "hub", "na", F.col("nb").alias("n"), "diff", "root", (F.col("root") != F.col("_ra")).alias("open"), (F.size("diff") - g * F.col("nb")).alias("alpha")), "members")
+    # A centre with one node has nothing more to tell, nor has one all of whose nodes were compared with one other hub.
+    lows = mem.groupBy("a").agg(F.min("alpha").alias("_low"), F.min(F.when(F.col("open"), F.col("alpha"))).alias("_open"), F.min("n").alias("_short"), F.min(F.struct("alpha", "b"))["b"].alias("_y"), F.count(F.lit(1)).alias("_m"), F.min("hub").alias("_h1"), F.max("hub").alias("_h2")).where("_m > 1 AND (_h1 != _h2 OR _h1 = a)").drop("_h1", "_h2")
     mem = written(hot.join(mem, lows, "b"), "members")
     shared = mem.sparkSession.sparkContext.broadcast(_hot_differences(mem))
-    sure = (F.col("alpha") + F.col("_low") <= 1e-9) & F.col("open")
-    with_keys = mem.withColumn("bands", F.expr("transform(diff, e -> xxhash64(a, e))")).withColumn("sure", F.when(sure & (F.col("b") != F.col("_y")), F.col("_y")))
+    sure = F.col("open") & (F.col("alpha") + F.col("_low") <= 1e-9) & (F.col("b") != F.col("_y"))
+    names = ("na", "n", "alpha", "_open", "_short", "open")
 
     def run(batches):
-        keys, number = shared.value
+        keys, number, most = shared.value
         for batch in batches:
-            alpha, low, open_, d = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("alpha", "_low", "open", "d"))
-            low_open = column(batch, "_open").to_numpy(zero_copy_only=False)
-            need = np.maximum(np.ceil((alpha + np.where(open_, low, low_open)) / 2 - 1e-9), 1).astype(np.int64)
-            ends = column(batch, "bands").offsets.to_numpy()
-            bands = column(batch, "bands").values.to_numpy()
-            at, out = [], []
+            c, n, alpha, low_open, short, open_ = (column(batch, x).to_numpy(zero_copy_only=False) for x in names)
+            diff, bands = column(batch, "diff"), column(batch, "bands").values.to_numpy()
+            ends, added = diff.offsets.to_numpy(), (diff.values.to_numpy() & 1) == 1
+            up = lambda x: np.maximum(np.ceil(x - 1e-9), 1).astype(np.int64)
+            plus = up(np.where(open_, alpha + (1 - g) * np.maximum(short, least * n), low_open + (1 - g) * n) / 2 - c / 2)
+            # As x, a node meets nodes up to this size in what they lack; as y, it does so if it is as short as that for any x.
+            reach = (c - alpha) / (1 - g)
+            as_x = open_ & (short <= reach + 1e-9)
+            as_y = (1 - g) * n <= c - low_open + 1e-9
+            minus = np.minimum(np.where(as_x, up((alpha + c - (1 + g) * reach) / 2), 1 << 40), np.where(as_y, up((low_open + c - (1 + g) * n) / 2), 1 << 40))
+            at, out, kind, more = [], [], [], np.zeros(len(batch), np.int64)
             for i in range(len(batch)):
-                own = bands[ends[i] : ends[i + 1]]
-                take = int(d[i] - need[i] + 1)
-                if take > 0:
-                    where = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                    often = np.where(keys[where] == own, number[where], 0) if len(keys) else np.zeros(len(own))
-                    out.append(np.unique(own[np.lexsort((own, often))[:take]]))
-                    at.append(np.full(len(out[-1]), i))
+                own, new = bands[ends[i] : ends[i + 1]], added[ends[i] : ends[i + 1]]
+                more[i] = new.sum()
+                for add, part, need in ((1, own[new], plus[i]), (0, own[~new], minus[i])):
+                    ask = min(int(need), most)
+                    take = int(len(part) - need + ask)
+                    if len(part) >= need:
+                        where = np.minimum(np.searchsorted(keys, part), max(len(keys) - 1, 0))
+                        often = np.where(keys[where] == part, number[where], 0) if len(keys) else np.zeros(len(part))
+                        first = np.lexsort((part, often))[:take]
+                        part, many = part[first], often[first] > FEW
+                        h = int(many.sum())
+                        # With fewer of them than are asked for, another difference must be shared as well.
+                        part, many = (part, many) if h >= ask else (part[~many], many[~many])
+                        out.append(part)
+                        at.append(np.full(len(part), i))
+                        kind.append(np.stack([np.full(len(part), add), np.full(len(part), h), np.full(len(part), most), many]))
             at, out = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*out, np.zeros(0, np.int64)])
-            place = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(out), *(column(batch, c).take(place) for c in ("b", "n", "d", "alpha", "open", "root"))], names=["band", "node", "n", "d", "alpha", "open", "root"])
-
-    kinds = "band long, node binary, n long, d long, alpha double, open boolean, root binary"
-    prefix = with_keys.select("bands", "b", "n", "d", "alpha", "open", "root", "_low", "_open").mapInArrow(run, kinds)
-    close = with_keys.where("sure IS NOT NULL").select(F.xxhash64("b", "sure", F.lit("sure")).alias("band"), F.explode(F.array("b", "sure")).alias("node"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("alpha"), (F.col("node") == F.col("b")).alias("open"), F.when(F.col("node") == F.col("b"), F.col("root")).otherwise(F.lit(b"")).alias("root"))
+            kind = np.concatenate([*kind, np.zeros((4, 0), np.int64)], axis=1)
+            place, less = pa.array(at), np.diff(ends)[at] - more[at]
+            kept = [column(batch, x).take(place) for x in ("b", "n", "na", "open", "root", "hub", "cid")]
+            flags = [pa.array(kind[0] > 0), pa.array(kind[1].astype(np.int64)), pa.array(kind[2].astype(np.int64)), pa.array(kind[3] > 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(out), *kept, pa.array(more[at]), pa.array(less, pa.int64()), *flags], names=["band", "node", "n", "c", "open", "root", "hub", "cid", "plus", "minus", "add", "often", "most", "many"])
+
+    keyed = mem.select("diff", F.expr("transform(diff, e -> xxhash64(a, e))").alias("bands"), "b", "root", F.xxhash64("hub").alias("hub"), F.xxhash64("a").alias("cid"), *names)
+    prefix = keyed.mapInArrow(run, "band long, node binary, n long, c long, open boolean, root binary, hub long, cid long, plus long, minus long, add boolean, often long, most long, many boolean")
+    pair = F.explode(F.array(F.struct(F.col("b").alias("node"), F.lit(True).alias("open"), F.col("root").alias("root")), F.struct(F.col("_y").alias("node"), F.lit(False).alias("open"), F.lit(b"").alias("root"))))
+    zero = [F.lit(0).cast("long").alias(x) for x in ("n", "c", "hub", "cid", "plus", "minus", "often", "most")]
+    close = mem.where(sure).select(F.xxhash64("b", "_y", F.lit("sure")).alias("band"), pair.alias("p")).select("band", "p.node", *zero, "p.open", "p.root", F.lit(True).alias("add"), F.lit(False).alias("many"))
     return written(prefix.unionByName(close), "prefixes")
 
 
 def groups(prefix: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(pairs a, b of nodes that share a difference with few others; met rows of the differences that many share)."""
     g = (1 - least) / (1 + least)
-    crowd = written(prefix.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.max("open").alias("_o"), F.min("root").alias("_r1"), F.max("root").alias("_r2")).where("_n > 1 AND _o AND _r1 != _r2").select("band", "_n"), "differing")
-    met = written(Hot(crowd, "band").join(prefix, crowd, "node"), "differing")
-    few = met.where(F.col("_n") <= FEW)
-    side = lambda x: few.select("band", F.col("node").alias(x), *(F.col(c).alias(f"_{c}{x}") for c in ("n", "d", "alpha", "open", "root")))
-    both = side("a").join(side("b"), "band")
-    once = (F.col("a") != F.col("b")) & F.col("_opena") & (~F.col("_openb") | (F.col("a") < F.col("b")))
-    sizes = (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb")) & ((F.col("_alphaa") + F.col("_alphab")) / 2 <= F.least("_da", "_db") + 1e-9)
-    pairs = both.where(once & (F.col("_roota") != F.col("_rootb")) & sizes).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
-    return written(pairs, "pairs"), met.where(F.col("_n") > FEW).select("band", "node")
+    crowd = prefix.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.count_if("open").alias("_o"), F.min("root").alias("_r1"), F.max("root").alias("_r2"), F.min("hub").alias("_h1"), F.max("hub").alias("_h2"), F.first("cid").alias("_c"))
+    # Nodes of one hub meet there.
+    crowd = written(crowd.where("_n > 1 AND _o > 0 AND _r1 != _r2 AND (_h1 != _h2 OR _h1 = _c)").select("band", "_n", "_o"), "differing")
+    hot = Hot(crowd, "band", "_n")
+    met = written(hot.join(prefix, crowd, "node"), "differing")
+    crowded = F.col("many") | (F.col("_o") > FEW)
+    few = met.where(~crowded)
+    names = ("n", "plus", "minus", "open", "root", "hub", "often")
+    side = lambda x, *more: few.select("band", F.col("node").alias(x), *(F.col(c).alias(f"_{c}{x}") for c in names), *more)
+    ask_of = hot.spread(side("a", "c", "cid", "add", "most").where("_opena"))
+    both = ask_of.join(hot.split(side("b"), "b"), ["band", "_salt"])
+    once = (F.col("a") != F.col("b")) & ((F.col("_huba") != F.col("_hubb")) | (F.col("_huba") == F.col("cid"))) & (~F.col("_openb") | (F.col("a") < F.col("b")))
+    d = {x: F.col(f"_plus{x}") + F.col(f"_minus{x}") for x in "ab"}
+    need = (d["a"] + d["b"] - g * (F.col("_na") + F.col("_nb"))) / 2
+    can = (need <= F.least("_plusa", "_plusb") + F.least("_minusa", "_minusb") + 1e-9) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb"))
+    other = F.when(F.col("add"), F.least("_minusa", "_minusb")).otherwise(F.least("_plusa", "_plusb"))
+    ask = F.ceil(need - other - 1e-9)
+    ask = F.greatest(F.least(ask, F.col("most")) - F.least("_oftena", "_oftenb"), F.lit(1))
+    found = both.where(once & (F.col("_roota") != F.col("_rootb")) & can).groupBy("a", "b", "cid", "add").agg(F.count(F.lit(1)).alias("_same"), F.first(ask).alias("_ask"))
+    pairs = found.where("_same >= _ask").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+    return written(pairs, "pairs"), met.where(crowded).select("band", "node")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -345,7 +406,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         pairs, met = groups(prefix, least)
         found = []
         if pairs.limit(1).count():
-            sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b").withColumn("b_centre", F.lit(False))
+            sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b").withColumns({"b_centre": F.lit(False), "hub": F.lit(None).cast("binary")})
             found.append(compared(sides, texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), least))
         if more := met.limit(1).count():
             seen = stars(written(texts.join(centred(met), "node"), "texts"), least)
@@ -357,11 +418,11 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
             break
     linked = links.labels.join(nodes.select("node", "first_id"), "node")
     of_root = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    label = Hot(count_by(links.labels, "root"), "root").join(links.labels, of_root, "node").select("node", "class_id")
+    label = Hot(links.labels, "root").join(links.labels, of_root, "node").select("node", "class_id")
     shared = nodes.where("copies > 1").select("node", "first_id", F.col("copies").alias("_n"))
     both = written(shared.join(label, "node", "full_outer").select("node", F.coalesce("class_id", "first_id").alias("class_id")), "labels")
     alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    named = Hot(shared, "node").join(rows.where("node IS NOT NULL").select("doc_id", "node"), both.withColumn("_in", F.lit(True)), "doc_id", "left")
+    named = Hot(shared, "node", "_n").join(rows.where("node IS NOT NULL").select("doc_id", "node"), both.withColumn("_in", F.lit(True)), "doc_id", "left")
     return named.select("doc_id", F.when(F.col("_in"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")).unionByName(alone)
 
 

@@ -53,16 +53,17 @@ class Hot:
     """The keys of some rows that have many of them, and into how many salts each is split.
 
     A hot key has more than max(HOT, rows / MOST_HOT) rows, so there are at most MOST_HOT such keys: a bounded broadcast.
-    ``counts`` has a row for each key, with its number of rows in ``n``."""
+    ``n`` names a column with the number of rows of each key, where it is known; else the rows are counted."""
 
-    def __init__(self, counts: DataFrame, key: str, n: str = "_n"):
+    def __init__(self, rows: DataFrame, key: str, n: str | None = None):
         self.key = key
-        total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+        total = rows.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] if n else rows.count()
         bar = max(HOT, total // MOST_HOT)
         self.none = total <= bar
         if self.none:
             return
-        big = counts.where((F.col(n) > bar) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / bar).cast("int").alias("_salts"))
+        counts = rows.select(key, F.col(n).alias("_n")) if n else count_by(rows.select(key), key)
+        big = counts.where((F.col("_n") > bar) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / bar).cast("int").alias("_salts"))
         self.big = written(big, "hot")
         self.none = not self.big.limit(1).count()
 

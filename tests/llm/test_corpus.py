@@ -135,6 +135,7 @@ def test_near_duplicates_without_their_original(spark, monkeypatch):
 
     monkeypatch.setattr(runtime, "HOT", 10)
     monkeypatch.setattr(neardup, "FEW", 3)
+    monkeypatch.setattr(neardup, "ONE_TASK", 3)
     r, rows = random.Random(11), {}
     for g in range(4):
         base = [f"g{g}w{k}" for k in range(40 + 10 * g)]
