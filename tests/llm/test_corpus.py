@@ -309,14 +309,67 @@ def test_toxicity(spark, docs):
     assert not any(p and not t for t, p in out)
 
 
-def test_toxic_evidence_is_of_the_whole_text(spark):
-    """Evidence spread over many mild expressions counts, ordinary evidence counts against, length is normalised."""
-    s = blocks.of_texts(["abcde fghij", "abcde fghij " * 50, "abcde zzzzz", "", "zzzzz"])
-    code = toxicity.expressions(blocks.of_texts(["abcde fghij"]))[0]
-    x = toxicity.Model(code, np.where(np.arange(len(code)) % 2, -0.6, 0.4)).evidence(s)
-    want = np.where(np.arange(len(code)) % 2, -0.6, 0.4).mean()
-    assert x[0, 0] == pytest.approx(want) and x[1, 0] == pytest.approx(want) and x[0, 1] == x[1, 1] == 0.4
-    assert x[2, 0] == pytest.approx((0.4 - 0.6 + 0.4) / 6) and not x[3:].any()
+def brute_events(t):
+    """(context, byte) of every byte of the lower-cased words and of the blanks after them."""
+    import re
+
+    for w in re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower()):
+        w = b"    " + w + b" "
+        for i in range(4, len(w)):
+            yield w[i - 4 : i], w[i : i + 1]
+
+
+def test_toxicity_models(spark):
+    """Probabilities and log-likelihoods against a Kneser-Ney model written with dictionaries; each context's sum to 1."""
+    r = random.Random(8)
+    some = [(k % 3 == 0, " ".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(12))) for k in range(60)]
+    found = toxicity.counts(toxicity.count(spark.createDataFrame(some, "toxic boolean, text string")))
+    n = {c: Counter(e for t, x in some if t == (c == 0) for e in brute_events(x)) for c in (0, 1)}
+    kinds = {k: Counter() for k in range(4)}  # by the length of the context: in how many surroundings
+    level = {h + x for c in n for h, x in n[c]}
+    for k in (3, 2, 1, 0):
+        kinds[k] = Counter(g[1:] for g in level)
+        level = set(kinds[k])
+
+    def shared(h, x):
+        if not h:
+            own, low = kinds[0], 1 / 256
+        else:
+            own, low = kinds[len(h)], shared(h[1:], x)
+        after = [v for g, v in own.items() if g[:-1] == h]
+        return (max(own[h + x] - 0.75, 0) + 0.75 * len(after) * low) / sum(after) if after else low
+
+    def p(c, h, x):
+        after = [v for (g, _), v in n[c].items() if g == h]
+        d = found.discounts[c]
+        return (max(n[c][h, x] - d, 0) + sum(min(v, d) for v in after) * shared(h[1:], x)) / sum(after) if after else shared(h[1:], x)
+
+    for h in {h for h, _ in n[0] | n[1]}:
+        for c in (0, 1):
+            assert sum(p(c, h, bytes([x])) for x in range(256)) == pytest.approx(1)
+    model, texts_ = found.model(), [x for _, x in some[:8]] + ["zzz abz", ""]
+    got = model.evidence(blocks.of_texts(texts_))
+    for x, e in zip(texts_, got):
+        each = [math.log(p(0, *ev) / p(1, *ev)) for ev in brute_events(x)]
+        k = toxicity.STRETCH
+        most = [sum(each[i : i + k]) / k for i in range(len(each) - k + 1)] or [sum(each) / max(len(each), 1)]
+        assert e[0] == pytest.approx(sum(each) / max(len(each), 1)) and e[1] == pytest.approx(max(0, *most, 0))
+    out = found.left_out()
+    for t, x in some[:4]:
+        s = blocks.of_texts([x])
+        code, text, _ = toxicity.expressions(s)
+        own = toxicity.counts(toxicity.count(spark.createDataFrame([(f, y) for f, y in some if (f, y) != (t, x)], "toxic boolean, text string")))
+        own.discounts = found.discounts
+        assert np.corrcoef(out(code, text, np.array([t])), own.model().differences(code))[0, 1] > 0.9
+    for h, x in n[0] | n[1]:
+        code = int.from_bytes(h + x, "big")
+        if code in found.codes:
+            at = found.codes.tolist().index(code)
+            assert found.probabilities()[:, at].tolist() == pytest.approx([p(0, h, x), p(1, h, x)])
+
+
+def test_mild_evidence_adds_up(spark):
+    """Evidence spread over many mild expressions counts, and ordinary evidence counts against it."""
     r, text = random.Random(5), {}
     mild, plain = [f"mild{a}{b}" for a in "abcdefgh" for b in "qrstuv"], [f"word{a}{b}" for a in "abcdefgh" for b in "qrstuv"]
     for i in range(900):
