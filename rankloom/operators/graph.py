@@ -86,8 +86,9 @@ def reversed_(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def shortest_path(edges: DataFrame, a, b) -> DataFrame:
-    """path: one shortest path from a to b, the smallest of them in order of its nodes; no row if there is none."""
+def shortest_path(edges: DataFrame, a, b, most: int | None = None) -> DataFrame:
+    """path: one shortest path from a to b, the smallest of them in order of its nodes; no row if there is none, or none
+    of up to ``most`` steps."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     front = spark.range(1).select(F.lit(a).cast(kind).alias("node"), F.array(F.lit(a).cast(kind)).alias("path"))
@@ -96,6 +97,8 @@ def shortest_path(edges: DataFrame, a, b) -> DataFrame:
         found = front.where(F.col("node") == b)
         if found.limit(1).count():
             return found.select("path").orderBy("path").limit(1)
+        if rounds == most:
+            break
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         front = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         seen, rounds = seen.unionByName(front.select("node")), rounds + 1
@@ -116,8 +119,10 @@ def simple_paths(edges: DataFrame, a, depth: int) -> DataFrame:
 
 
 def call_chain(edges: DataFrame, a, b, depth: int = 10) -> DataFrame:
-    """path: the first simple path from a to b in order of its nodes, within depth steps."""
-    return simple_paths(edges, a, depth).where(F.element_at("path", -1) == b).orderBy("path").limit(1)
+    """path: a chain of calls from a to b within depth steps, the shortest one (of these the smallest in order of its nodes).
+
+    Any simple path would do; the shortest is found without going through all of them."""
+    return shortest_path(edges, a, b, depth)
 
 
 def has_cycle(edges: DataFrame) -> bool:

@@ -51,7 +51,9 @@ def _has_value(prefix: str, part: str):
 
 def _term_columns(chunks: DataFrame, terms: list[str], *keep: str) -> DataFrame:
     t = chunks.select(*keep, T.tokens(F.coalesce("content", F.lit(""))).alias("_t"))
-    return t.select(*keep, F.size("_t").alias("_dl"), *(F.size(F.filter("_t", _equals(term))).alias(f"_tf{i}") for i, term in enumerate(terms)))
+    counted = F.struct(F.size("_t").alias("_dl"), *(F.size(F.filter("_t", _equals(term))).alias(f"_tf{i}") for i, term in enumerate(terms)))
+    # A filter on a score isn't pushed below explode(), where it would tokenise the text anew for each term.
+    return t.select(*keep, F.explode(F.array(counted)).alias("_c")).select(*keep, "_c.*")
 
 
 def _stats(terms: list[str]) -> list[Column]:
@@ -140,14 +142,15 @@ def hash_embedding(content: Column, size: int = 64) -> Column:
 # -- fusion -------------------------------------------------------------------------------------------------------------
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int, weight: float = WEIGHT) -> DataFrame:
     """Reciprocal-rank fusion of (id, score) lists of up to a few times k rows: id, score, and both ranks (-1: absent)."""
-    rank = lambda df, name: df.select("id", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("id"))).alias(name))
-    s, w = rank(semantic, "semantic_rank"), rank(keyword, "keyword_rank")
-    n = lambda df: df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    missing = n(s) + RRF_MISSING, n(w) + RRF_MISSING
-    one = lambda c, m, x: F.lit(x) / (F.lit(RRF_K) + F.coalesce(c, F.lit(m)))
-    both = s.join(w, "id", "full_outer").select("id", F.coalesce("semantic_rank", F.lit(-1)).alias("semantic_rank"), F.coalesce("keyword_rank", F.lit(-1)).alias("keyword_rank"), (one(F.col("semantic_rank"), missing[0], weight) + one(F.col("keyword_rank"), missing[1], 1 - weight)).alias("_s"))
-    top = F.max("_s").over(Window.partitionBy())
-    return ranked(both.select("id", "semantic_rank", "keyword_rank", (F.col("_s") / top).alias("score")), k)
+    rank = lambda df, name, other: df.select("id", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("id"))).alias(name), F.lit(None).cast("int").alias(other))
+    names = ("semantic_rank", "keyword_rank")
+    rows = rank(semantic, *names).unionByName(rank(keyword, *names[::-1])).groupBy("id").agg(*(F.max(n).alias(n) for n in names))
+    # The lists are short, so that one task may hold them; their lengths are the last ranks.
+    whole = Window.partitionBy()
+    missing = {n: F.coalesce(F.max(n).over(whole), F.lit(0)) + RRF_MISSING for n in names}
+    one = lambda n, x: F.lit(x) / (F.lit(RRF_K) + F.coalesce(F.col(n), missing[n]))
+    both = rows.select("id", *(F.coalesce(n, F.lit(-1)).alias(f"_{n}") for n in names), (one(names[0], weight) + one(names[1], 1 - weight)).alias("_s"))
+    return ranked(both.select("id", *(F.col(f"_{n}").alias(n) for n in names), (F.col("_s") / F.max("_s").over(whole)).alias("score")), k)
 
 
 # -- boosts and filters ---------------------------------------------------------------------------------------------------
@@ -224,6 +227,7 @@ def summary_boost(df: DataFrame, summarized: DataFrame) -> DataFrame:
 
 
 def context_line(df: DataFrame) -> DataFrame:
-    """One row that says what a result list is about: languages, codebases, first path parts."""
-    part = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, 5), ", ")
-    return df.agg(F.concat_ws(" | ", part(F.col("language")), part(F.col("project_id")), part(F.substring_index("path", "/", 1))).alias("context"))
+    """One row that says what a result list is about: languages, codebases, up to five first path parts."""
+    part = lambda c: F.array_sort(F.collect_set(c))
+    areas = F.slice(part(F.substring_index("path", "/", 1)), 1, 5)
+    return df.agg(F.concat_ws(" | ", *(F.array_join(x, ", ") for x in (part(F.col("language")), part(F.col("project_id")), areas))).alias("context"))
