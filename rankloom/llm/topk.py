@@ -6,12 +6,15 @@ length * ((difference of means)**2 + (difference of deviations)**2); since <q, x
 bound of the distance is an upper bound of the score.  Bounds are evaluated coarse to fine against the k-th best score
 that a query has so far; only survivors get their exact integer score, so the result is exact.
 
-Queries are taken in bounded groups (``GROUP_BYTES`` of vectors), each of which is sent to all workers and meets all rows
-in blocks; a task keeps k rows for a query, and the k best of all tasks are ranked in the end, ties to the smaller id.
+Queries are taken in bounded groups (``GROUP_BYTES`` of vectors, ``GROUP_QUERIES`` of them), each of which is sent to all
+workers and meets all rows in blocks of up to ``CELLS`` pairs, which bounds a task's memory whatever the number of queries;
+a task keeps k rows for a query, and the k best of all tasks are ranked in the end, ties to the smaller id.  Exact search
+of more queries takes more groups, and each reads all rows.
 
 Rules for odd rows: vectors that are null, empty or hold a null or non-finite component take no part; vectors of another
 length than a query's are no candidates of it; repeated rows each count, with the smaller id first and else in any order;
-a row is no candidate of a query with its own id; null ids take no part.
+a row is no candidate of a query with its own id; null ids take no part; a score beyond the range of 64-bit integers is
+given as the nearest of them; further columns don't matter, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from .runtime import prepare, written
 SCALE, EVERY, K = 1024, 100, 10
 RESOLUTIONS = (1, 4, 16)
 GROUP_BYTES = 16 << 20
-_ROWS = 4096
+GROUP_QUERIES = 16_384
+CELLS = 1 << 21
 
 
 def usable(vector: str = "embedding"):
@@ -73,7 +77,10 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if top < 2**53:
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.einsum("ij,ij->i", q.astype(np.int64), x.astype(np.int64))
+    if top < 2**62:
+        return np.einsum("ij,ij->i", q.astype(np.int64), x.astype(np.int64))
+    exact = (sum(int(a) * int(b) for a, b in zip(u, v)) for u, v in zip(q.tolist(), x.tolist()))
+    return np.array([max(-(2**63), min(2**63 - 1, n)) for n in exact], dtype=np.int64)
 
 
 class Best:
@@ -124,7 +131,7 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE)
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())
     queries = written(good.where(F.col("vec_id") % every == 0).withColumn("_n", F.size("embedding")), "queries")
     sizes = queries.agg(F.count(F.lit(1)), F.max("_n")).first()
-    groups = max(1, -(-sizes[0] * (sizes[1] or 1) * 8 // GROUP_BYTES))
+    groups = max(1, -(-sizes[0] * (sizes[1] or 1) * 8 // GROUP_BYTES), -(-sizes[0] // GROUP_QUERIES))
     found = []
     for g in range(groups):
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).select("vec_id", "embedding").toArrow().combine_chunks()
@@ -138,8 +145,9 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE)
             for batch in batches:
                 ids = column(batch, "vec_id").to_numpy()
                 for n, (at, x) in _matrix(column(batch, "embedding")).items():
-                    for i in range(0, len(at) if n in best else 0, _ROWS):
-                        best[n].offer(ids[at[i : i + _ROWS]], integers(x[i : i + _ROWS], scale))
+                    step = max(1, CELLS // max(len(best[n].ids), 1)) if n in best else 1
+                    for i in range(0, len(at) if n in best else 0, step):
+                        best[n].offer(ids[at[i : i + step]], integers(x[i : i + step], scale))
             for b in best.values():
                 q, v, s = b.rows[0]
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "copy", "vec_id", "score"])

@@ -496,6 +496,8 @@ def test_top_k_odd(spark):
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in got.where("query_id = 0").orderBy("rank").collect()] == [(0, 1, 100, 5 << 20), (0, 2, 1, 4 << 20), (0, 3, 6, 4 << 20)]
     assert [r.vec_id for r in got.where("query_id = 300").collect()] == [5]
+    huge = topk.search(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [2.0**21, 2.0**21])], "vec_id long, embedding array<float>"), every=100)
+    assert [(r.vec_id, r.score) for r in huge.orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
     assert topk.search(got.sparkSession.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
