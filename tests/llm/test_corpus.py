@@ -77,11 +77,42 @@ def test_substrings_in_small_words(spark, monkeypatch):
     assert {x[0]: tuple(x[1:]) for x in substrings.digest(df).collect()} == brute_windows(rows)
 
 
+def test_substrings_under_collisions(docs, texts):
+    """Prefixes whose hashes have few bits bring different suffixes together: nothing more is removed, and nothing less."""
+    assert {r[0]: tuple(r[1:]) for r in substrings.digest(docs, bits=6).collect()} == brute_windows(texts)
+
+
+def test_repeats_by_trees():
+    """Every window of some suffixes, none of which starts before its windows do, against a dictionary; all have one key."""
+    r = random.Random(6)
+    for _ in range(20):
+        words_ = np.array([r.randrange(1, 3) for _ in range(120)], np.uint64)
+        w, rows = 4, []
+        for _ in range(12):
+            n = r.randint(1, 5)
+            rows.append((r.randrange(100), n, r.randint(n - 1, n + 2), r.randrange(3)))
+        first, n, off, ids = (np.array(x) for x in zip(*rows))
+        row, t, later, spoken = substrings.repeats(np.zeros(12, np.uint64), words_, first, n, off, ids, first, w)
+        # Only windows at the same distance from their suffix are compared.
+        seen = {}
+        for k in range(12):
+            for x in range(n[k]):
+                a = int(first[k] + x)
+                seen.setdefault((tuple(words_[a : a + w].tolist()), int(off[k] - x)), []).append((int(ids[k]), a, k, x))
+        want = {(k, x) for group in seen.values() for i, a, k, x in group if (i, a) != min(group)[:2]}
+        assert {(int(a), int(b)) for a, b, c in zip(row, t, later) if c} == want
+        assert len(row) == n.sum() and spoken.sum() == len(seen)
+
+
 def test_substrings_odd(spark, odd):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.digest(odd).collect())
     assert got == [(0, 1, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0), (5, 4, 0), (5, 4, 0), (6, 1, 0)]
     assert substrings.cut_repeats(odd).count() == len(ODD)
     assert substrings.digest(odd.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        substrings.digest(odd.withColumn("doc_id", odd.text))
+    named = odd.withColumnsRenamed({"lang": "_runs", "source": "_ID"}).withColumn("_tag", odd.n_chars)
+    assert sorted(map(repr, substrings.cut_repeats(named).collect())) == sorted(map(repr, named.collect()))
     t = " ".join(f"w{i}" for i in range(30))
     cut = substrings.cut_repeats(spark.createDataFrame([(1, t, "", "", 0), (2, f"a  b\n{t}  c", "", "", 0)], DOCS)).orderBy("doc_id").collect()
     assert cut[0].text == t and cut[1].text == "a  b\nc" and cut[1].n_chars == 6
