@@ -90,7 +90,7 @@ def test_repeats_by_trees():
         w, rows = 4, []
         for _ in range(12):
             n = r.randint(1, 5)
-            rows.append((r.randrange(100), n, r.randint(n - 1, n + 2), r.randrange(3)))
+            rows.append((r.randrange(100), n, r.randint(n - 1, 4), r.randrange(3)))
         first, n, off, ids = (np.array(x) for x in zip(*rows))
         row, t, later, spoken = substrings.repeats(np.zeros(12, np.uint64), words_, first, n, off, ids, first, w)
         # Only windows at the same distance from their suffix are compared.
