@@ -168,17 +168,17 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW, prefix
 
 
 def by_bucket(batches):
-    """(bucket, its blobs), one bucket after another; the rows are sorted by bucket."""
+    """The blobs of one bucket after another; the rows are sorted by bucket."""
     at, blobs = None, []
     for batch in batches:
         for bucket, data in zip(column(batch, "bucket").to_pylist(), column(batch, "data").to_pylist()):
             if bucket != at and blobs:
-                yield at, blobs
+                yield blobs
                 blobs = []
             at = bucket
             blobs.append(data)
     if blobs:
-        yield at, blobs
+        yield blobs
 
 
 def _together(rows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _repeated_anchors(keyed: DataFrame, shape: Shape) -> DataFrame:
             yield dealt((g[place] % np.uint64(n)).astype(np.int64), n, {"hash": g[place], "id": ids[owner], "tag": tags[owner], "place": (place - bounds[owner]).astype(np.uint32)})
 
     def meet(batches):
-        for _, blobs in by_bucket(batches):
+        for blobs in by_bucket(batches):
             t = gathered(blobs, _ANCHOR)
             _, back, count = np.unique(t["hash"], return_inverse=True, return_counts=True)
             some = np.flatnonzero(count[back] > 1)
@@ -260,7 +260,7 @@ def _per_document(rows: DataFrame, kind, out: str) -> DataFrame:
     names = [k for k, _ in kind if k not in ("id", "tag")]
 
     def run(batches):
-        for _, blobs in by_bucket(batches):
+        for blobs in by_bucket(batches):
             t = gathered(blobs, kind)
             order = np.lexsort((t["place"], t["tag"], t["id"]))
             ids, tags = t["id"][order], t["tag"][order]
@@ -350,6 +350,7 @@ def _suffixes(hashes, bounds, found, shape: Shape):
 def _marks(found_docs: DataFrame, shape: Shape) -> DataFrame:
     """Marked windows, dealt out by document."""
     n, window = shape.buckets, shape.window
+    hot = bool((shape.levels == 3).any())
     shared = found_docs.sparkSession.sparkContext.broadcast(shape)
 
     def rows(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -362,7 +363,7 @@ def _marks(found_docs: DataFrame, shape: Shape) -> DataFrame:
         yield rows(0, _runs(ids[row[later]], tags[row[later]], place[row[later]] + t[later], n))
         send = np.zeros(len(key), dtype=bool)
         send[row[spoken]] = True
-        for kind, some in ((1, send & (level < 3)), (2, send & (level == 3))):
+        for kind, some in ((1, send & ((level < 3) | (not hot))), (2, send & (level == 3) & hot)):
             some = np.flatnonzero(some)
             if len(some):
                 bucket = mix64(key[some] + np.uint64(salt)) if kind == 2 else key[some]
@@ -376,21 +377,32 @@ def _marks(found_docs: DataFrame, shape: Shape) -> DataFrame:
                 salt = int(mix64(np.array([ids[0]]).astype(np.uint64))[0]) % n + number
                 yield from settled(key, hashes, first, n_, off, ids[doc], tags[doc], first - bounds[doc], level, salt)
 
-    def meet(batches):
-        for _, blobs in by_bucket(batches):
-            t = gathered(blobs, _SUFFIX, "words")
-            n_, off = t["n"].astype(np.int64), t["off"].astype(np.int64)
-            first = np.cumsum(n_ + window - 1) - (n_ + window - 1)
-            yield from settled(t["hash"], t["words"], first, n_, off, t["id"], t["tag"], t["place"].astype(np.int64), np.zeros(len(n_), np.uint8), 0)
+    def meet(kind: int):
+        def run(batches):
+            passed = []
+
+            def own():
+                for batch in batches:
+                    mine = pa.compute.equal(column(batch, "kind"), kind)
+                    passed.append(batch.filter(pa.compute.invert(mine)))
+                    yield batch.filter(mine)
+
+            for blobs in by_bucket(own()):
+                t = gathered(blobs, _SUFFIX, "words")
+                n_, off = t["n"].astype(np.int64), t["off"].astype(np.int64)
+                first = np.cumsum(n_ + window - 1) - (n_ + window - 1)
+                yield from settled(t["hash"], t["words"], first, n_, off, t["id"], t["tag"], t["place"].astype(np.int64), np.zeros(len(n_), np.uint8), 0)
+                yield from passed
+                passed.clear()
+            yield from passed
+
+        return run
 
     kinds = "bucket int, kind int, data binary"
-    dealt_ = written(found_docs.mapInArrow(send, kinds), "suffixes")
-    parts_ = [dealt_.where("kind = 0"), dealt_.where("kind = 1")]
-    if (shape.levels == 3).any() or dealt_.where("kind = 2").limit(1).count():
-        first = written(_together(dealt_.where("kind = 2").select("bucket", "data")).mapInArrow(meet, kinds), "suffixes")
-        parts_ = [parts_[0].unionByName(first.where("kind = 0")), parts_[1].unionByName(first.where("kind = 1"))]
-    last = _together(parts_[1].select("bucket", "data")).mapInArrow(meet, kinds).where("kind = 0")
-    return parts_[0].unionByName(last).select("bucket", "data")
+    rows_ = found_docs.mapInArrow(send, kinds)
+    if hot:
+        rows_ = _together(rows_).mapInArrow(meet(2), kinds)
+    return _together(rows_).mapInArrow(meet(1), kinds).where("kind = 0").select("bucket", "data")
 
 
 def _runs(ids, tags, place, n: int) -> pa.RecordBatch:

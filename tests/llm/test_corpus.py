@@ -67,9 +67,10 @@ def test_substrings(docs, texts):
     assert {r[0]: tuple(r[1:]) for r in substrings.digest(docs).collect()} == brute_windows(texts)
 
 
-def test_substrings_in_small_words(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [0, 3, 2000])
+def test_substrings_in_small_words(spark, monkeypatch, frequent):
     """Few different words, so that windows overlap and repeat within texts; anchors are frequent ones at once."""
-    monkeypatch.setattr(substrings, "FREQUENT", 3)
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
     r = random.Random(7)
     base = [" ".join(r.choice("ab") for _ in range(60)) for _ in range(6)]
     rows = {i: " ".join(r.choice(base) for _ in range(r.randint(0, 3))) for i in range(60)}
