@@ -108,6 +108,12 @@ def v7_hash_embedding(spark, sf):
     return _docs(spark, sf).select("id", S.hash_embedding(F.col("content")).alias("embedding"))
 
 
+@query(f"WITH c AS ({TB.CHUNKS_SQL}) SELECT id, project_id, array_to_string(tags, ',') AS tags, content, 64 AS n FROM c")
+def v8_rebuild(spark, sf):
+    c = TB.chunks(spark, sf)
+    return S.rebuilt(c.unionByName(c)).select("id", "project_id", "tags", "content", F.size("embedding").alias("n"))
+
+
 _KW = S.keyword_sql(QUERY, 20, TB.CHUNKS_SQL)
 
 
@@ -426,6 +432,30 @@ def s12_shown_content(spark, sf):
     return TB.load(spark, sf, "pages").select(F.col("page_id").alias("id"), FS.shown(F.col("html")).alias("content"))
 
 
+def _folder(spark):
+    return G.fresh_folder(spark)
+
+
+@query("SELECT doc_id AS id, text AS content FROM documents WHERE doc_id // 5 % 3 <> 1")
+def s5_s9_store(spark, sf):
+    """Two appends to a store; every third file goes, with its chunks."""
+    at, d = _folder(spark), _docs(spark, sf)
+    store = FS.Store(spark, f"{at}/a")
+    store.add(d.where("id % 2 = 0"))
+    store.add(d.where("id % 2 = 1"))
+    index = d.groupBy(F.floor(F.col("id") / 5).alias("path")).agg(F.collect_list("id").alias("chunk_ids"))
+    return store.delete(I.chunks_of(index.where("path % 3 = 1"), index), f"{at}/b").rows()
+
+
+@query("SELECT role, text FROM conversations WHERE role IN ('user', 'assistant')")
+def s4_conversation_logs(spark, sf):
+    """The conversations written as JSON lines and read as logs; other roles aren't messages."""
+    at = _folder(spark)
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    TB.load(spark, sf, "conversations").select(line.alias("value")).write.text(at)
+    return FS.conversations(spark, at).select("role", "text")
+
+
 # -- relational ----------------------------------------------------------------------------------------------------------------
 def _meta(spark, sf):
     return TB.indexed_files(spark, sf), TB.codebases(spark, sf), TB.summaries(spark, sf)
@@ -445,10 +475,17 @@ def r2_file_page(spark, sf):
     return M.file_page(*_meta(spark, sf), 50, 10, language="BUILDING")
 
 
-@query(f"{_WITH} SELECT file_id, path FROM files WHERE file_id NOT IN (SELECT file_id FROM summaries)")
+@query(f"{_WITH} SELECT file_id, path FROM files WHERE file_id NOT IN (SELECT file_id FROM summaries WHERE status = 'F')")
 def r3_without_summary(spark, sf):
+    """Files without an approved summary."""
+    f, _, s = _meta(spark, sf)
+    return M.with_summary(f, s.where("status = 'F'"), False).select("file_id", "path")
+
+
+@query(f"{_WITH} SELECT file_id, path FROM files WHERE file_id IN (SELECT file_id FROM summaries WHERE status = 'F')")
+def r3_with_summary(spark, sf):
     f, _, s = _meta(spark, sf)
-    return M.with_summary(f, s, False).select("file_id", "path")
+    return M.with_summary(f, s.where("status = 'F'")).select("file_id", "path")
 
 
 @query(f"{_WITH} SELECT file_id, path, codebase, pattern, domain, s.status, summary_type FROM files JOIN codebases USING (codebase_id) JOIN summaries s USING (file_id) WHERE pattern = '1-URGENT' AND s.status = 'O' ORDER BY path LIMIT 40")
@@ -482,6 +519,11 @@ def r8_totals(spark, sf):
     return M.totals(M.codebase_stats(*_meta(spark, sf)))
 
 
+@query(f"{_WITH} {_STATS}")
+def r9_refreshed_view(spark, sf):
+    return M.refreshed(M.codebase_stats(*_meta(spark, sf)))
+
+
 @query("SELECT n_name AS codebase FROM nation ORDER BY n_name")
 def r10_codebases(spark, sf):
     return TB.codebases(spark, sf).select("codebase").orderBy("codebase")
@@ -505,6 +547,15 @@ def s6_s7_upsert(spark, sf):
     return M.upsert(f, new, "file_id")
 
 
+@query(f"{_WITH} SELECT file_id, path, codebase FROM files JOIN codebases USING (codebase_id)")
+def s15_migrate(spark, sf):
+    at = _folder(spark)
+    f, b, _ = _meta(spark, sf)
+    FS.migrate({"files": f, "codebases": b}, at)
+    read = spark.read.parquet
+    return read(f"{at}/files").join(read(f"{at}/codebases"), "codebase_id").select("file_id", "path", "codebase")
+
+
 @query(f"{_WITH} SELECT file_id, path FROM files WHERE file_id IN (3, 5, 8)")
 def s8_get_by_ids(spark, sf):
     return TB.indexed_files(spark, sf).where(F.col("file_id").isin(3, 5, 8)).select("file_id", "path")
@@ -541,6 +592,71 @@ def l8_status(spark, sf):
     return M.status_rollup(*(_meta(spark, sf)[i] for i in (0, 2)))
 
 
+def _index(spark, sf):
+    """path, mtime, content_hash, chunk_ids: up to nine documents of a source are a file; an id that no chunk has is among them."""
+    c = TB.chunks(spark, sf).withColumn("path", F.concat("project_id", F.lit("/"), F.floor(F.col("id") / 9).cast("string")))
+    ids = F.concat(F.array_sort(F.collect_list("id")), F.array(F.lit(-1).cast("long")))
+    return c.groupBy("path").agg(F.max("id").cast("double").alias("mtime"), F.count(F.lit(1)).cast("string").alias("content_hash"), ids.alias("chunk_ids"), F.min("language").alias("pattern"), F.min("domain").alias("domain"))
+
+
+_NINE = f"c AS ({TB.CHUNKS_SQL}), x AS (SELECT project_id || '/' || id // 9 AS path, max(id)::DOUBLE AS mtime, count(*)::VARCHAR AS content_hash, count(*) AS chunk_count, min(language) AS pattern, min(domain) AS domain FROM c GROUP BY 1)"
+
+
+@query(f"WITH {_NINE} SELECT x.path, mtime, content_hash, chunk_count, id, content, CASE WHEN chunk_count % 2 = 0 THEN x.pattern END AS pattern FROM x JOIN c ON c.project_id || '/' || c.id // 9 = x.path")
+def l3_file_details(spark, sf):
+    """Every file, asked for with backslashes; those with an even number of chunks have a summary."""
+    index = _index(spark, sf)
+    paths = index.select(F.translate("path", "/", "\\").alias("path"))
+    rows = M.file_details(index.drop("pattern", "domain"), TB.chunks(spark, sf), index.where("content_hash % 2 = 0"), paths)
+    return rows.select("path", "mtime", "content_hash", "chunk_count", "id", "content", "pattern")
+
+
+@query(f"{_WITH} SELECT path, pattern, domain, summarized_at, CASE WHEN length(coalesce(text, '')) > 300 THEN substr(text, 1, 300) || '...' ELSE coalesce(text, '') END AS content_preview, coalesce(text, '') AS content, (SELECT count(*) FROM summaries) AS total, 45 < (SELECT count(*) FROM summaries) AS has_more FROM summaries JOIN files USING (file_id) LEFT JOIN documents ON doc_id = file_id ORDER BY path LIMIT 30 OFFSET 15")
+def l5_summary_listing(spark, sf):
+    f, _, s = _meta(spark, sf)
+    texts = TB.load(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return M.summary_listing(s.join(f.select("file_id", "path"), "file_id"), texts, 30, 15)
+
+
+@query(f"{_WITH} SELECT codebase, count(f.file_id) + coalesce(sum(CASE WHEN file_id % 3 = 0 THEN 1 WHEN file_id % 3 = 1 THEN -1 END), 0)::BIGINT AS indexed, count(s.file_id) - count(CASE WHEN file_id % 3 = 1 THEN s.file_id END) AS summarized FROM files f JOIN codebases USING (codebase_id) LEFT JOIN summaries s USING (file_id) GROUP BY codebase")
+def l9_counts(spark, sf):
+    """Every third file is added once more, another third is removed with its summary."""
+    f, b, s = _meta(spark, sf)
+    rows = f.join(b, "codebase_id").join(s.select("file_id", "pattern"), "file_id", "left")
+    change = F.when(F.col("file_id") % 3 == 0, 1).when(F.col("file_id") % 3 == 1, -1)
+    deltas = rows.select("codebase", F.coalesce(change, F.lit(0)).cast("long").alias("indexed"), F.when((change == -1) & F.col("pattern").isNotNull(), -1).otherwise(0).cast("long").alias("summarized"))
+    counts = rows.groupBy("codebase").agg(F.count(F.lit(1)).alias("indexed"), F.count("pattern").alias("summarized"))
+    return M.counts_after(counts, deltas)
+
+
+@query("WITH j AS (SELECT CASE user_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'skipped' END AS state, value AS seconds FROM events), r AS (SELECT count(*) FILTER (state = 'queued') AS files_queued, count(*) FILTER (state = 'failed') AS files_failed, count(*) FILTER (state <> 'queued') AS files_processed, count(*) AS files_total, avg(seconds) FILTER (state = 'completed') AS a FROM j) SELECT files_queued, files_failed, files_processed, files_total, round(a, 6) AS avg_seconds, round(files_processed / files_total * 100.0, 6) AS progress_percentage, round((a + 0.5) * files_queued, 4) AS seconds_remaining FROM r")
+def l9_queue_progress(spark, sf):
+    state = F.element_at(F.array(*map(F.lit, ("queued", "completed", "failed", "skipped"))), (F.col("user_id") % 4 + 1).cast("int"))
+    rows = M.queue_progress(TB.load(spark, sf, "events").select(state.alias("state"), F.col("value").alias("seconds")), 0.5)
+    return rows.withColumns({"avg_seconds": R6("avg_seconds"), "progress_percentage": R6("progress_percentage"), "seconds_remaining": F.round("seconds_remaining", 4)})
+
+
+def _stored(spark, sf):
+    """Stored summaries: every third document is plain text of old, the others are JSON objects."""
+    e, n = TB.load(spark, sf, "events"), F.col("event_id")
+    json = F.concat(F.lit('{"purpose": "does '), "event_type", F.lit('", "pattern": "p'), (n % 5).cast("string"), F.lit('"}'))
+    return e.select(F.concat(F.lit("f"), n.cast("string")).alias("path"), F.when(n % 3 == 0, F.concat(F.lit("handles "), "event_type")).otherwise(json).alias("document"), F.lit("old").alias("pattern"), F.lit("d").alias("domain"), F.lit("m").alias("model"), n.cast("string").alias("content_hash"), F.when(n % 4 == 0, "approved").alias("validation_status"))
+
+
+@query("SELECT 'f' || event_id AS path, CASE WHEN event_id % 3 = 0 THEN 'handles ' ELSE 'does ' END || event_type AS purpose, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'p' || event_id % 5 END AS pattern, CASE WHEN event_id % 3 = 0 THEN 'd' END AS domain, CASE WHEN event_id % 3 = 0 THEN 'm' END AS model_used, NULL::VARCHAR AS how_it_works, event_id::VARCHAR AS content_hash, CASE WHEN event_id % 4 = 0 THEN 'approved' ELSE 'unreviewed' END AS validation_status FROM events")
+def l10_full_summary(spark, sf):
+    return M.full_summary(_stored(spark, sf))
+
+
+@query("SELECT 'f' || event_id AS path, CASE WHEN event_id % 2 = 0 THEN 'rejected' WHEN event_id % 7 = 0 THEN 'needs_review' WHEN event_id % 4 = 0 THEN 'approved' END AS validation_status FROM events")
+def l10_validate(spark, sf):
+    """Reviews of every seventh, and later ones of every second, stored summary."""
+    s = _stored(spark, sf)
+    n = F.col("content_hash").cast("long")
+    reviews = s.where(n % 7 == 0).select("path", F.lit("needs_review").alias("status"), F.lit(1).alias("reviewed_at")).unionByName(s.where(n % 2 == 0).select("path", F.lit("rejected").alias("status"), F.lit(2).alias("reviewed_at")))
+    return M.validate(s, reviews).select("path", "validation_status")
+
+
 @query(f"{_WITH} SELECT codebase, count(*) AS n_files, array_to_string(list_sort(list(path))[1:100], ',') AS paths FROM files JOIN codebases USING (codebase_id) GROUP BY codebase")
 def l11_codebase_list(spark, sf):
     f, b, _ = _meta(spark, sf)
@@ -697,11 +813,40 @@ def i5_prune(spark, sf):
     return I.prune_counts(I.prune(TB.memories(spark, sf), "project1", F.lit("2024-01-20").cast("timestamp_ntz")))
 
 
-@query(f"{_WITH} SELECT file_id, path, coalesce(s_acctbal, 0)::DOUBLE AS score FROM files LEFT JOIN supplier ON s_suppkey = file_id WHERE file_id NOT IN (SELECT file_id FROM summaries) AND path NOT LIKE '%5'")
+@query(f"{_WITH} SELECT file_id, path, coalesce(s_acctbal, 0)::DOUBLE AS score FROM files LEFT JOIN supplier ON s_suppkey = file_id WHERE file_id NOT IN (SELECT file_id FROM summaries WHERE status = 'F') AND path NOT LIKE '%5'")
 def i8_summary_queue(spark, sf):
     f, _, s = _meta(spark, sf)
     scores = TB.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("file_id"), F.col("s_acctbal").alias("score"))
-    return I.summary_queue(f, s, scores, ("*5",))
+    return I.summary_queue(f, s.where("status = 'F'"), scores, ("*5",))
+
+
+@query("WITH r AS (SELECT 'store' || (user_id % 3) AS store, event_id // 4 AS id FROM events), g AS (SELECT id, min(store) AS store FROM r WHERE id % 2 = 0 GROUP BY id) SELECT store, id FROM r ANTI JOIN g USING (id, store)")
+def i6_delete_across_stores(spark, sf):
+    rows = TB.load(spark, sf, "events").select(F.concat(F.lit("store"), (F.col("user_id") % 3).cast("string")).alias("store"), F.floor(F.col("event_id") / 4).alias("id"))
+    return I.delete_first(rows, rows.where("id % 2 = 0")).select("store", "id")
+
+
+def _summary_chunks(spark, sf):
+    f, b, s = _meta(spark, sf)
+    named = f.join(b, "codebase_id")
+    return named.join(s.select("file_id"), "file_id"), named.select("codebase", "file_id", F.when(F.col("file_id") % 3 == 0, I.SUMMARY_SOURCE).otherwise("code").alias("source")), b
+
+
+@query(f"{_WITH} SELECT codebase, count(s.file_id) AS summaries_cleared, count(CASE WHEN file_id % 3 = 0 THEN 1 END) AS chunks_removed, '2' AS schema_version FROM codebases LEFT JOIN files USING (codebase_id) LEFT JOIN summaries s USING (file_id) GROUP BY codebase")
+def i10_invalidate(spark, sf):
+    return I.invalidate(*_summary_chunks(spark, sf), "2")
+
+
+@query(f"{_WITH} SELECT file_id FROM files JOIN codebases USING (codebase_id) WHERE file_id % 3 <> 0 OR codebase >= 'F'")
+def i10_chunks_left(spark, sf):
+    _, chunks, b = _summary_chunks(spark, sf)
+    return I.without_summaries(chunks, b.where("codebase < 'F'")).select("file_id")
+
+
+@query(f"{_WITH}, {_SNAP} SELECT n.path, n.m::DOUBLE AS mtime, CASE WHEN o.h = n.h THEN 'c' || o.h END AS derived FROM n LEFT JOIN o ON o.path = n.path")
+def i2_next_snapshot(spark, sf):
+    old, new = _snapshots(spark, sf)
+    return I.apply_changes(old.withColumn("derived", F.concat(F.lit("c"), "content_hash")), new).select("path", "mtime", "derived")
 
 
 @query("WITH v AS (SELECT 'f' || (user_id % 50) AS path, epoch(ts)::DOUBLE AS mtime, event_id::VARCHAR AS content_hash FROM events) SELECT path, mtime, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, content_hash DESC) AS n FROM v) WHERE n = 1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS = 0.85, 100
@@ -16,13 +16,21 @@ DAMPING, ROUNDS = 0.85, 100
 GATHER = 16
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names for checkpoints; in local mode one beside the warehouse will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{base.rstrip('/')}/rankloom/table-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written and read again, which ends their lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{base.rstrip('/')}/rankloom/graph-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def build(edges: DataFrame) -> DataFrame:

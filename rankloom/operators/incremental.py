@@ -18,8 +18,12 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The next snapshot: new rows where files are new or changed, old ones where they stay; touched files take the new time."""
-    return new.select(*old.columns)
+    """The next snapshot, with the columns of old: what was derived from a file (chunk_ids and the like) stays while its
+    content does, under the new time, and is null where the file is new or modified; deleted files go."""
+    derived = [c for c in old.columns if c not in ("path", "mtime", "content_hash")]
+    kept = old.select(F.col("path").alias("_path"), F.col("content_hash").alias("_hash"), *derived)
+    same = (F.col("path") == F.col("_path")) & F.col("content_hash").eqNullSafe(F.col("_hash"))
+    return new.select("path", "mtime", "content_hash").join(kept, same, "left").select(*old.columns)
 
 
 def orphans(stored: DataFrame, index: DataFrame) -> DataFrame:
@@ -77,3 +81,27 @@ def glob(pattern: str) -> str:
 def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return rows.withColumn("_n", best).where("_n = 1").drop("_n")
+
+
+def delete_first(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (store, id, ...) without the ids in gone: an id goes from the first store, by name, that has it, and stays in others."""
+    first = rows.join(gone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("store").alias("store"))
+    return rows.join(first, ["id", "store"], "left_anti")
+
+
+SUMMARY_SOURCE = "llm_summarization"
+
+
+def invalidate(summaries: DataFrame, chunks: DataFrame, codebases: DataFrame, version: str) -> DataFrame:
+    """codebase, summaries_cleared, chunks_removed and the schema version that codebases have after losing all summaries:
+    rows of summaries (codebase), and rows of chunks (codebase, source) that summaries were stored as."""
+    lost = lambda rows, name: rows.groupBy("codebase").agg(F.count(F.lit(1)).alias(name))
+    out = codebases.select("codebase").join(lost(summaries, "summaries_cleared"), "codebase", "left")
+    out = out.join(lost(chunks.where(F.col("source") == SUMMARY_SOURCE), "chunks_removed"), "codebase", "left")
+    return out.fillna(0).withColumn("schema_version", F.lit(version))
+
+
+def without_summaries(chunks: DataFrame, codebases: DataFrame) -> DataFrame:
+    """The chunks that stay when the summaries of some codebases are invalidated."""
+    gone = codebases.select("codebase").distinct().withColumn("source", F.lit(SUMMARY_SOURCE))
+    return chunks.join(gone, ["codebase", "source"], "left_anti").select(*chunks.columns)

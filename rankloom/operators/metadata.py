@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
@@ -113,3 +115,72 @@ def codebase_list(files: DataFrame, bases: DataFrame, most: int = 100) -> DataFr
     first = F.row_number().over(Window.partitionBy("codebase_id").orderBy("path"))
     some = files.withColumn("_n", first).where(F.col("_n") <= most).groupBy("codebase_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     return files.groupBy("codebase_id").agg(F.count(F.lit(1)).alias("n_files")).join(some, "codebase_id").join(bases, "codebase_id").select("codebase", "n_files", "paths")
+
+
+PREVIEW = 300
+
+
+def summary_listing(summaries: DataFrame, texts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of summaries by path with preview and content, and the total.  Only the page's rows meet the texts
+    (file_id, content): it has ``limit`` rows, which is what is broadcast."""
+    rows = summaries.select("file_id", "path", "pattern", "domain", "summarized_at")
+    wanted = F.broadcast(page(rows, [F.asc("path"), F.asc("file_id")], limit, offset))
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))
+    content = F.coalesce("content", F.lit(""))
+    preview = F.when(F.length(content) > PREVIEW, F.concat(F.substring(content, 1, PREVIEW), F.lit("..."))).otherwise(content)
+    found = texts.select("file_id", "content").join(wanted, "file_id", "right")
+    return found.join(total).select("path", "pattern", "domain", "summarized_at", preview.alias("content_preview"), content.alias("content"), "total", (F.lit(offset + limit) < F.col("total")).alias("has_more"))
+
+
+def file_details(index: DataFrame, chunks: DataFrame, summaries: DataFrame, paths: DataFrame) -> DataFrame:
+    """A row for each chunk of the files in paths (path, with either separator): the file's entry (mtime, content_hash,
+    number of chunks found), the chunk, and the file's summary.  A file without chunks has one row with a null id."""
+    plain = F.translate("path", "\\", "/")
+    files = index.withColumn("_p", plain).join(paths.select(plain.alias("_p")).distinct(), "_p", "left_semi")
+    own = files.select("_p", F.explode_outer("chunk_ids").alias("id")).join(chunks.select("id", "content", "tags").withColumn("_in", F.lit(1)), "id", "left")
+    own = own.select("_p", F.when(F.col("_in") == 1, F.col("id")).alias("id"), "content", "tags")
+    n = own.groupBy("_p").agg(F.count("id").alias("chunk_count"))
+    rows = own.where("id IS NOT NULL").join(files.drop("chunk_ids").join(n, "_p"), "_p", "right")
+    notes = summaries.select(plain.alias("_p"), "pattern", "domain")
+    return rows.join(notes, "_p", "left").select("path", "mtime", "content_hash", "chunk_count", "id", "content", "tags", "pattern", "domain")
+
+
+def counts_after(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Counts (codebase, indexed, summarized) with signed changes of the same columns added; new codebases start at 0."""
+    return counts.select("codebase", "indexed", "summarized").unionByName(deltas.select("codebase", "indexed", "summarized")).groupBy("codebase").agg(F.sum("indexed").alias("indexed"), F.sum("summarized").alias("summarized"))
+
+
+def queue_progress(jobs: DataFrame, rate_limit: float = 0.0) -> DataFrame:
+    """One row for jobs (state: queued, completed, failed or skipped; seconds): what is left, progress in percent and the time
+    to go, which is the mean of completed ones and the pause between two, for each queued one."""
+    is_ = lambda s: F.count_if(F.col("state") == s)
+    mean = F.coalesce(F.avg(F.when(F.col("state") == "completed", F.col("seconds"))), F.lit(0.0))
+    out = jobs.agg(is_("queued").alias("files_queued"), is_("failed").alias("files_failed"), F.count_if(F.col("state") != "queued").alias("files_processed"), F.count("state").alias("files_total"), mean.alias("avg_seconds"))
+    percent = F.when(F.col("files_total") > 0, F.col("files_processed") / F.col("files_total") * 100).otherwise(0.0)
+    return out.select("*", percent.alias("progress_percentage"), ((F.col("avg_seconds") + rate_limit) * F.col("files_queued")).alias("seconds_remaining"))
+
+
+def full_summary(stored: DataFrame) -> DataFrame:
+    """Whole summaries of stored ones (path, document, pattern, domain, model, content_hash, validation_status): a JSON
+    object gives its own fields; other text is an old document, which is the purpose, with the rest from the metadata.
+    Hash and status always come from the metadata; a missing status is unreviewed."""
+    v = F.try_parse_json("document")
+    json = v.isNotNull() & F.startswith(F.ltrim("document"), F.lit("{"))
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    pick = lambda name, old: F.when(json, field(name)).otherwise(old)
+    return stored.select(
+        "path", pick("purpose", F.col("document")).alias("purpose"), pick("pattern", F.col("pattern")).alias("pattern"), pick("domain", F.col("domain")).alias("domain"),
+        pick("model_used", F.col("model")).alias("model_used"), field("how_it_works").alias("how_it_works"), F.coalesce("content_hash", F.lit("")).alias("content_hash"),
+        F.coalesce("validation_status", F.lit("unreviewed")).alias("validation_status"),
+    )
+
+
+def validate(stored: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Stored summaries with the status of the latest review (path, status, reviewed_at); without one a row stays as it is."""
+    last = reviews.groupBy("path").agg(F.max_by("status", F.struct("reviewed_at", "status")).alias("_s"))
+    return stored.join(last, "path", "left").withColumn("validation_status", F.coalesce("_s", "validation_status")).drop("_s")
+
+
+def refreshed(view: DataFrame) -> DataFrame:
+    """A materialised view made anew: written as a table of its own, which readers then use."""
+    return cut(view)

@@ -139,6 +139,12 @@ def hash_embedding(content: Column, size: int = 64) -> Column:
     return F.aggregate(signed, zeros, place)
 
 
+def rebuilt(chunks: DataFrame, size: int = 64) -> DataFrame:
+    """The vector store made anew from chunks (id, project_id, content, tags): one row for each id, with its embedding."""
+    one = chunks.select("id", "project_id", "content", "tags").dropDuplicates(["id"])
+    return one.select("id", "project_id", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"), "content", hash_embedding(F.col("content"), size).alias("embedding"))
+
+
 # -- fusion -------------------------------------------------------------------------------------------------------------
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int, weight: float = WEIGHT) -> DataFrame:
     """Reciprocal-rank fusion of (id, score) lists of up to a few times k rows: id, score, and both ranks (-1: absent)."""

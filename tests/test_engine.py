@@ -12,6 +12,7 @@ from rankloom.operators import chunking as CH
 from rankloom.operators import code as CD
 from rankloom.operators import graph as G
 from rankloom.operators import incremental as I
+from rankloom.operators import metadata as M
 from rankloom.operators import search as S
 from rankloom.operators import verify as V
 from rankloom.sources import files as FS
@@ -47,12 +48,12 @@ def one(spark, column):
 @pytest.mark.parametrize(
     "question, subject, claim",
     [
-        ("verify _generate_features uses iloc", "_generate_features", "iloc"),
-        ("does MyClass use  the repository pattern", "MyClass", "the repository pattern"),
-        ("is DataProcessor using caching", "DataProcessor", "caching"),
-        ("does process_data call validate", "process_data", "validate"),
-        ("find if handler uses async", "handler", "async"),
-        ("check if process_data accesses database", "process_data", "accesses database"),
+        ("verify load_orders uses csv.reader", "load_orders", "csv.reader"),
+        ("does RateLimiter use  a token bucket", "RateLimiter", "a token bucket"),
+        ("is Mailer using retries", "Mailer", "retries"),
+        ("does close_account call audit", "close_account", "audit"),
+        ("find if worker.loop uses threads", "worker.loop", "threads"),
+        ("check if close_account accesses ledger", "close_account", "accesses ledger"),
     ],
 )
 def test_claims(spark, question, subject, claim):
@@ -61,20 +62,20 @@ def test_claims(spark, question, subject, claim):
 
 
 def test_no_claim(spark):
-    assert one(spark, T.claim(F.lit("what is the purpose of this class"))) is None
+    assert one(spark, T.claim(F.lit("where are invoices printed"))) is None
 
 
 def test_key_terms(spark):
-    assert one(spark, T.key_terms(F.lit("window-relative bar_index for DataFrame access"))) == ["bar_index", "DataFrame", "access"]
+    assert one(spark, T.key_terms(F.lit("row-major cell_offset for TileGrid lookup"))) == ["cell_offset", "TileGrid", "lookup"]
     assert one(spark, T.key_terms(F.lit("the a an"))) == []
 
 
 def test_relevance(spark):
     score = lambda s, *t: one(spark, V.relevance(F.lit(s), F.array(*map(F.lit, t))))
-    assert score("iloc", "iloc") == pytest.approx(0.95)
-    assert score("self._cache", "cache") == pytest.approx(0.55)
-    assert score("df.iloc[bar_index]", "iloc", "bar_index") == pytest.approx(0.65)
-    assert score("process_data", "analyze") == 0
+    assert score("ledger", "ledger") == pytest.approx(0.95)
+    assert score("self._ledger", "ledger") == pytest.approx(0.55)
+    assert score("book.ledger[row_no]", "ledger", "row_no") == pytest.approx(0.65)
+    assert score("close_account", "reopen") == 0
 
 
 def test_boosts(spark):
@@ -98,9 +99,9 @@ def test_change_detection(spark):
 
 
 def test_ignored(spark):
-    paths = ["main.py", "__pycache__/a.py", "x/.git/b", "node_modules/c.js", "x/venv/d.py", "a.pyc"]
+    paths = ["tool/go.py", "tool/__pycache__/q", "r/.git/s", "web/node_modules/t/u.js", "venv/v.py", "w.pyc"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string")
-    assert [r.p for r in rows.where(~FS.ignored(F.col("p"))).collect()] == ["main.py"]
+    assert [r.p for r in rows.where(~FS.ignored(F.col("p"))).collect()] == ["tool/go.py"]
 
 
 def test_scan_and_chunks(spark, tmp_path):
@@ -181,6 +182,45 @@ def test_enriched_chunks(spark):
     assert row.has_signals and "[Implementation Signals]\nCalls: go" in row.chunk
 
 
+def test_file_details(spark):
+    index = spark.createDataFrame([("a/b.py", 1.0, "h", [1, 2, 9]), ("c\\d.py", 2.0, "i", []), ("e", 3.0, "j", None)], "path string, mtime double, content_hash string, chunk_ids array<long>")
+    chunks = spark.createDataFrame([(1, "x", ["t"]), (2, None, None), (3, "z", [])], "id long, content string, tags array<string>")
+    notes = spark.createDataFrame([("a\\b.py", "p", "d")], "path string, pattern string, domain string")
+    paths = spark.createDataFrame([("a\\b.py",), ("a/b.py",), ("c/d.py",), ("f",)], "path string")
+    got = sorted(((r.path, r.chunk_count, r.id, r.pattern) for r in M.file_details(index, chunks, notes, paths).collect()), key=str)
+    assert got == [("a/b.py", 2, 1, "p"), ("a/b.py", 2, 2, "p"), ("c\\d.py", 0, None, None)]
+
+
+def test_stored_summaries(spark):
+    rows = [("a", '{"purpose": "new", "pattern": "q"}', "p", None), ("b", "{broken", "p", "approved"), ("c", None, "p", None), ("d", "", "p", None)]
+    stored = spark.createDataFrame([(p, d, x, "dom", "m", None, v) for p, d, x, v in rows], "path string, document string, pattern string, domain string, model string, content_hash string, validation_status string")
+    got = {r.path: (r.purpose, r.pattern, r.validation_status) for r in M.full_summary(stored).collect()}
+    assert got == {"a": ("new", "q", "unreviewed"), "b": ("{broken", "p", "approved"), "c": (None, "p", "unreviewed"), "d": ("", "p", "unreviewed")}
+    reviews = spark.createDataFrame([("a", "rejected", 1), ("a", "approved", 2), ("z", "approved", 1)], "path string, status string, reviewed_at int")
+    assert {r.path: r.validation_status for r in M.validate(stored, reviews).collect()} == {"a": "approved", "b": "approved", "c": None, "d": None}
+
+
+def test_progress_without_jobs(spark):
+    row = M.queue_progress(spark.createDataFrame([], "state string, seconds double"), 2.0).first()
+    assert (row.files_queued, row.files_total, row.progress_percentage, row.seconds_remaining) == (0, 0, 0.0, 0.0)
+
+
+def test_delete_across_stores(spark):
+    rows = spark.createDataFrame([("x", 1), ("y", 1), ("y", 2), ("z", 3)], "store string, id int")
+    gone = spark.createDataFrame([(1,), (1,), (2,), (7,)], "id int")
+    assert sorted((r.store, r.id) for r in I.delete_first(rows, gone).collect()) == [("y", 1), ("z", 3)]
+
+
+def test_next_snapshot(spark):
+    old = spark.createDataFrame([("a", 1.0, "x", [1]), ("b", 1.0, "x", [2]), ("c", 1.0, None, [3]), ("d", 1.0, "x", [4])], "path string, mtime double, content_hash string, chunk_ids array<int>")
+    new = spark.createDataFrame([("a", 2.0, "x"), ("b", 2.0, "y"), ("c", 1.0, None), ("e", 1.0, "z")], "path string, mtime double, content_hash string")
+    assert {r.path: (r.mtime, r.chunk_ids) for r in I.apply_changes(old, new).collect()} == {"a": (2.0, [1]), "b": (2.0, None), "c": (1.0, [3]), "e": (1.0, None)}
+
+
+def test_shared_folder_is_named(spark):
+    assert G.fresh_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, content string, project_id string")
     assert S.keyword_search(none, "a query", 3).count() == 0
