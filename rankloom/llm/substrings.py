@@ -42,6 +42,8 @@ from .runtime import free, parts, prepare, written
 WINDOW, PREFIX = 20, 8
 #: Words of texts that are looked at together before anything is sent.
 BLOCK_WORDS = 3_000_000
+#: Windows whose anchors are looked for at once.
+PIECE = 1 << 18
 #: An anchor that occurs more often has its windows dealt out one by one.
 FREQUENT = 2000
 _NULL_ID = -(1 << 63)
@@ -137,34 +139,43 @@ def blocks(batches, with_found: bool = False, most: int = BLOCK_WORDS):
             size += len(w)
             if size >= most:
                 yield _joined(held)
-                held, size = [], 0
+                size = 0
     if held:
         yield _joined(held)
 
 
 def _joined(held):
+    """One block of what is held; nothing is held on to."""
     ids, tags, hashes, counts = (np.concatenate([h[i] for h in held]) for i in range(4))
-    return ids, tags, hashes, np.concatenate([[0], np.cumsum(counts)]), [x for h in held for x in h[4]]
+    found = [x for h in held for x in h[4]]
+    held.clear()
+    return ids, tags, hashes, np.concatenate([[0], np.cumsum(counts)]), found
 
 
 def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW, prefix: int = PREFIX, bits: int = 64):
     """(window starts, the text of each, the place of each window's anchor, hashes of prefixes by place).
 
-    Ties go to the first place, so that equal windows agree."""
+    Ties go to the first place, so that equal windows agree.  A block is worked through in pieces, which bounds what is held
+    beside the results."""
     starts, doc = window_bounds(bounds, window)
-    g = grams(hashes, prefix) >> np.uint64(64 - bits)
+    g = np.zeros(max(len(hashes) - prefix + 1, 0), dtype=np.uint64)
+    for i in range(0, len(g), PIECE):
+        g[i : i + PIECE] = grams(hashes[i : i + PIECE + prefix - 1], prefix) >> np.uint64(64 - bits)
     reach = window - prefix + 1
-    if not len(starts):
-        return starts, doc, starts, g
-    low, at = g, np.arange(len(g))
-    span = 1
-    while span < reach:
-        step = min(span, reach - span)
-        later = low[step:] < low[: len(low) - step]
-        at = np.where(later, at[step:], at[: len(at) - step])
-        low = np.where(later, low[step:], low[: len(low) - step])
-        span += step
-    return starts, doc, at[starts], g
+    place = np.zeros(len(starts), dtype=np.int64)
+    for i in range(0, len(starts), PIECE):
+        own = starts[i : i + PIECE]
+        low = g[own[0] : own[-1] + reach]
+        at = np.arange(own[0], own[0] + len(low))
+        span = 1
+        while span < reach:
+            step = min(span, reach - span)
+            later = low[step:] < low[: len(low) - step]
+            at = np.where(later, at[step:], at[: len(at) - step])
+            low = np.where(later, low[step:], low[: len(low) - step])
+            span += step
+        place[i : i + PIECE] = at[own - own[0]]
+    return starts, doc, place, g
 
 
 def by_bucket(batches):
