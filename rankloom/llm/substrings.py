@@ -41,7 +41,7 @@ from .runtime import free, parts, prepare, written
 
 WINDOW, PREFIX = 20, 8
 #: Words of texts that are looked at together before anything is sent.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_000_000
 #: Windows whose anchors are looked for at once.
 PIECE = 1 << 18
 #: An anchor that occurs more often has its windows dealt out one by one.
