@@ -17,14 +17,15 @@ next point is later than all components of its text.
 4. Two nodes of a band in different components can still be linked, although one of them, x, failed against the centre c.
    What they differ in from c tells: if D(x) is the multiset of shingles in which x and c differ, and |x| the number of its
    shingles, x and y are linked if and only if |D(x)| + |D(y)| - 2 |D(x) and D(y)| <= g (|x| + |y|) with
-   g = (1 - LEAST) / (1 + LEAST).  Of D(y), (|D(y)| - |y| + |c|) / 2 are shingles that y lacks; so linked nodes share at
-   least (|D(x)| - g |x| - |c| + (1 - g) |y|) / 2 shingles that c lacks.  A prefix filter over these (each node sends its
-   rarest ones, all but that number less one) misses none of them, and edits that others haven't made meet nobody: what a
-   large group has in common never is a difference.  Where y is so short that the bound is 0 or less, the two share
-   shingles of c that they lack, and the same filter is over those.  Nodes whose bound on the whole is 0 or less are linked.
-   Where up to ``FEW`` nodes outside the centre's component have a difference, they are compared with all that have it;
-   more are a new band with a centre of its own, and go through 2 to 4 again, until no such band is left.  A node's hub is
-   its centre that meets most; two nodes with the same hub are left to that.
+   g = (1 - LEAST) / (1 + LEAST).  So they share at least (alpha(x) + alpha(y)) / 2 differences, with alpha(x) = |D(x)| - g |x|.
+   Differences that no other such node has can't be shared and are set aside; a prefix filter over the others, ordered by the
+   number of nodes that have them, asks of each pair what that pair must share, and up to ``SEVERAL`` of it in the prefixes,
+   each that much longer.  It misses no link, and edits that others haven't made, or that too many have, meet nobody.
+   Nodes whose bound is 0 or less are linked.
+   Where up to ``FEW`` nodes outside the centre's component have a difference, they are compared with all that have it, a
+   pair at a time.  A difference of more nodes counts only where a node has as many such as a pair must share; the nodes that
+   it then brings together are a new band with a centre of its own, and go through 2 to 4 again, until no such band is left.
+   A node's hub is its centre that meets most; two nodes with the same hub are left to that.
 5. Components again; a class is named by its smallest doc_id.
 
 At a similarity of 0.8 two texts share a band with a probability of 1 - (1 - 0.8 ** 5) ** 25 = 0.99995; no step after that
@@ -46,18 +47,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import column, grams, mix64, of_texts, ranges, slabs, window_bounds
-from .runtime import MOST_HOT, Hot, count_by, prepare, written
+from .runtime import Hot, count_by, prepare, written
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Up to so many open nodes with a common difference are compared with all that have it; more get a centre of their own.
 FEW = 128
-#: A pair that must share so many differences or more is a candidate only if it does
-SEVERAL = 40
+#: A pair that must share so many differences or more is a candidate only if its prefixes share so many.
+SEVERAL = 8
 #: Up to so many links (16 MB) are joined up by one task.
 ONE_TASK = 500_000
-#: Words of the filter that marks involved nodes, 63 bits of each: 16 MiB, whatever the number of nodes.
+#: Words of the filter that marks involved nodes, 63 bits of each, and of the one that has a byte for a difference: 16 MiB,
+#: whatever the number of nodes.
 SLOTS = 1 << 21
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -283,24 +285,36 @@ class Links:
         self._solve()
 
 
-def _hot_differences(mem: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, numbers, how many shared ones to ask for) of the differences that most open nodes of a centre have, sorted by
-    key; at most MOST_HOT."""
-    each = count_by(mem.where("open").select(F.explode("diff").alias("e"), "a").select(F.xxhash64("a", "e").alias("band")), "band")
-    some = written(each.where(F.col("_n") > FEW), "differences")
-    total = some.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    got = some.where(F.col("_n") > total // MOST_HOT).toArrow()
-    order = np.argsort(got.column("band").to_numpy())
-    # Without all of them, shared differences can't be counted, and one must do.
-    return got.column("band").to_numpy()[order], got.column("_n").to_numpy()[order], SEVERAL if total // MOST_HOT <= FEW else 1
-
-
-def unsettled(seen: DataFrame, links: Links, least: float) -> DataFrame | None:
-    """The prefixes of the differences of nodes that may have links which their centres don't show, a row for each
-    difference: band, node, n, plus, minus (shingles that it has and lacks beside its centre), c (those of the centre),
-    open, root, hub, cid (the centre), add (whether the difference is one of plus), often (how many of the prefix's differences
-    many nodes have), most (how many shared ones are asked for), many; and, as bands of two rows, nodes that surely are
-    linked.  None if there are no such nodes."""
+def _common(rows: DataFrame, *more) -> DataFrame:
+    """band, _n, _o (open ones) of the differences that can link nodes: nodes of one hub meet there."""
+    crowd = rows.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.count_if("open").alias("_o"), F.min("root").alias("_r1"), F.max("root").alias("_r2"), F.min("hub").alias("_h1"), F.max("hub").alias("_h2"), F.first("cid").alias("_c"), *more)
+    return crowd.where("_n > 1 AND _o > 0 AND _r1 != _r2 AND (_h1 != _h2 OR _h1 = _c)").drop("_r1", "_r2", "_h1", "_h2", "_c")
+
+
+def _often(rows: DataFrame) -> np.ndarray:
+    """A byte for each slot of differences: 0 if none there can link nodes, else more bits the more nodes have one of them,
+    and the highest if more than ``FEW`` open nodes have one.  Slots that differences share are taken for the most frequent."""
+    levels = reduce(lambda x, y: x + y, [F.when(F.col("_n") > 1 << k, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(7)])
+    crowd = _common(rows).select(F.pmod("band", F.lit(8 * SLOTS)).alias("slot"), (levels + F.when(F.col("_o") > FEW, F.lit(128)).otherwise(F.lit(0))).cast("long").alias("level"))
+    words = crowd.select(F.expr("slot DIV 8").alias("word"), F.expr("shiftleft(level, CAST(8 * (slot % 8) AS INT))").alias("bits"))
+    made = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(SLOTS, "<i8")
+    out[made["word"].to_numpy()] = made["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _must_share(x, y):
+    """How many differences two nodes must share, from their alphas."""
+    return F.greatest(F.ceil((F.col(x) + F.col(y)) / 2 - 1e-9), F.lit(1))
+
+
+def unsettled(seen: DataFrame, links: Links, least: float) -> tuple[DataFrame, DataFrame] | None:
+    """(prefixes, pairs a, b of nodes that surely are linked) of the nodes that may have links which their centres don't show;
+    None if there are no such nodes.
+
+    A prefix has a row for each difference: band, node, most (a pair that must share more doesn't have it in its prefixes),
+    plus, minus (how many differences that others can have the node has and lacks beside its centre), crowded (those of them
+    that more than ``FEW`` open nodes have), n (its shingles), alpha, open, root, hub, cid (the centre)."""
     g = (1 - least) / (1 + least)
     failed = written(seen.where("NOT ok").select("a", "b"), "failed")
     if not failed.limit(1).count():
@@ -316,82 +330,69 @@ def unsettled(seen: DataFrame, links: Links, least: float) -> DataFrame | None:
     mem = hot.join(seen, centres, "b").join(root_b, "b", "left").withColumn("root", F.coalesce("_rb", "b"))
     mem = written(mem.select("a", "b", "hub", "na", F.col("nb").alias("n"), "diff", "root", (F.col("root") != F.col("_ra")).alias("open"), (F.size("diff") - g * F.col("nb")).alias("alpha")), "members")
     # A centre with one node has nothing more to tell, nor has one all of whose nodes were compared with one other hub.
-    lows = mem.groupBy("a").agg(F.min("alpha").alias("_low"), F.min(F.when(F.col("open"), F.col("alpha"))).alias("_open"), F.min("n").alias("_short"), F.min(F.struct("alpha", "b"))["b"].alias("_y"), F.count(F.lit(1)).alias("_m"), F.min("hub").alias("_h1"), F.max("hub").alias("_h2")).where("_m > 1 AND (_h1 != _h2 OR _h1 = a)").drop("_h1", "_h2")
-    mem = written(hot.join(mem, lows, "b"), "members")
-    shared = mem.sparkSession.sparkContext.broadcast(_hot_differences(mem))
-    sure = F.col("open") & (F.col("alpha") + F.col("_low") <= 1e-9) & (F.col("b") != F.col("_y"))
-    names = ("na", "n", "alpha", "_open", "_short", "open")
+    lows = mem.groupBy("a").agg(F.min("alpha").alias("_low"), F.min(F.when(F.col("open"), F.col("alpha"))).alias("_open"), F.min(F.struct("alpha", "b"))["b"].alias("_y"), F.count(F.lit(1)).alias("_m"), F.min("hub").alias("_h1"), F.max("hub").alias("_h2")).where("_m > 1 AND (_h1 != _h2 OR _h1 = a)").drop("_h1", "_h2")
+    hashed = [F.xxhash64("root").alias("root"), F.xxhash64("hub").alias("hub"), F.xxhash64("a").alias("cid")]
+    mem = written(hot.join(mem, lows, "b").select("a", "b", "n", "diff", "open", "alpha", "_low", "_open", "_y", *hashed), "members")
+    keyed = mem.select("b", "n", "alpha", F.when(F.col("open"), F.col("_low")).otherwise(F.col("_open")).alias("_with"), "open", "root", "hub", "cid", "diff", F.expr("transform(diff, e -> xxhash64(a, e))").alias("bands"))
+    shared = mem.sparkSession.sparkContext.broadcast(_often(keyed.select("open", "root", "hub", "cid", F.explode("bands").alias("band"))))
 
     def run(batches):
-        keys, number, most = shared.value
+        levels = shared.value
         for batch in batches:
-            c, n, alpha, low_open, short, open_ = (column(batch, x).to_numpy(zero_copy_only=False) for x in names)
-            diff, bands = column(batch, "diff"), column(batch, "bands").values.to_numpy()
-            ends, added = diff.offsets.to_numpy(), (diff.values.to_numpy() & 1) == 1
-            up = lambda x: np.maximum(np.ceil(x - 1e-9), 1).astype(np.int64)
-            plus = up(np.where(open_, alpha + (1 - g) * np.maximum(short, least * n), low_open + (1 - g) * n) / 2 - c / 2)
-            # As x, a node meets nodes up to this size in what they lack; as y, it does so if it is as short as that for any x.
-            reach = (c - alpha) / (1 - g)
-            as_x = open_ & (short <= reach + 1e-9)
-            as_y = (1 - g) * n <= c - low_open + 1e-9
-            minus = np.minimum(np.where(as_x, up((alpha + c - (1 + g) * reach) / 2), 1 << 40), np.where(as_y, up((low_open + c - (1 + g) * n) / 2), 1 << 40))
-            at, out, kind, more = [], [], [], np.zeros(len(batch), np.int64)
+            alpha, low = (column(batch, x).to_numpy(zero_copy_only=False) for x in ("alpha", "_with"))
+            bands, diff = column(batch, "bands"), column(batch, "diff")
+            ends, bands, added = bands.offsets.to_numpy(), bands.values.to_numpy(), (diff.values.to_numpy() & 1) == 1
+            level = levels[bands % (8 * SLOTS)]
+            # A node that none can be linked with has no lower bound.
+            need = np.where(np.isnan(low), 1 << 40, np.maximum(np.ceil((alpha + np.nan_to_num(low)) / 2 - 1e-9), 1)).astype(np.int64)
+            at, out, nums = [], [], []
             for i in range(len(batch)):
-                own, new = bands[ends[i] : ends[i + 1]], added[ends[i] : ends[i + 1]]
-                more[i] = new.sum()
-                for add, part, need in ((1, own[new], plus[i]), (0, own[~new], minus[i])):
-                    ask = min(int(need), most)
-                    take = int(len(part) - need + ask)
-                    if len(part) >= need:
-                        where = np.minimum(np.searchsorted(keys, part), max(len(keys) - 1, 0))
-                        often = np.where(keys[where] == part, number[where], 0) if len(keys) else np.zeros(len(part))
-                        first = np.lexsort((part, often))[:take]
-                        part, many = part[first], often[first] > FEW
-                        h = int(many.sum())
-                        # With fewer of them than are asked for, another difference must be shared as well.
-                        part, many = (part, many) if h >= ask else (part[~many], many[~many])
-                        out.append(part)
-                        at.append(np.full(len(part), i))
-                        kind.append(np.stack([np.full(len(part), add), np.full(len(part), h), np.full(len(part), most), many]))
-            at, out = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*out, np.zeros(0, np.int64)])
-            kind = np.concatenate([*kind, np.zeros((4, 0), np.int64)], axis=1)
-            place, less = pa.array(at), np.diff(ends)[at] - more[at]
-            kept = [column(batch, x).take(place) for x in ("b", "n", "na", "open", "root", "hub", "cid")]
-            flags = [pa.array(kind[0] > 0), pa.array(kind[1].astype(np.int64)), pa.array(kind[2].astype(np.int64)), pa.array(kind[3] > 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(out), *kept, pa.array(more[at]), pa.array(less, pa.int64()), *flags], names=["band", "node", "n", "c", "open", "root", "hub", "cid", "plus", "minus", "add", "often", "most", "many"])
-
-    keyed = mem.select("diff", F.expr("transform(diff, e -> xxhash64(a, e))").alias("bands"), "b", "root", F.xxhash64("hub").alias("hub"), F.xxhash64("a").alias("cid"), *names)
-    prefix = keyed.mapInArrow(run, "band long, node binary, n long, c long, open boolean, root binary, hub long, cid long, plus long, minus long, add boolean, often long, most long, many boolean")
-    pair = F.explode(F.array(F.struct(F.col("b").alias("node"), F.lit(True).alias("open"), F.col("root").alias("root")), F.struct(F.col("_y").alias("node"), F.lit(False).alias("open"), F.lit(b"").alias("root"))))
-    zero = [F.lit(0).cast("long").alias(x) for x in ("n", "c", "hub", "cid", "plus", "minus", "often", "most")]
-    close = mem.where(sure).select(F.xxhash64("b", "_y", F.lit("sure")).alias("band"), pair.alias("p")).select("band", "p.node", *zero, "p.open", "p.root", F.lit(True).alias("add"), F.lit(False).alias("many"))
-    return written(prefix.unionByName(close), "prefixes")
+                part = ends[i] + np.flatnonzero(level[ends[i] : ends[i + 1]])
+                if (shares := len(part)) >= need[i]:
+                    # Those that many open nodes have come last.
+                    part = part[np.lexsort((bands[part], level[part]))]
+                    crowded, plus = int((level[part] >= 128).sum()), int(added[part].sum())
+                    most = np.minimum(shares, shares - np.arange(shares) + SEVERAL - 1)
+                    most[shares - crowded :] = np.minimum(most[shares - crowded :], crowded)
+                    part, most = part[most >= need[i]], most[most >= need[i]]
+                    at.append(np.full(len(part), i))
+                    out.append(bands[part])
+                    nums.append(np.stack([most, *(np.full(len(part), x) for x in (plus, shares - plus, crowded))]))
+            place = pa.array(np.concatenate([*at, np.zeros(0, np.int64)]))
+            nums = np.concatenate([*nums, np.zeros((4, 0), np.int64)], axis=1).astype(np.int64)
+            kept = [column(batch, x).take(place) for x in ("b", "n", "alpha", "open", "root", "hub", "cid")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), *(pa.array(x) for x in nums), *kept], names=["band", "most", "plus", "minus", "crowded", "node", "n", "alpha", "open", "root", "hub", "cid"])
+
+    prefix = keyed.mapInArrow(run, "band long, most long, plus long, minus long, crowded long, node binary, n long, alpha double, open boolean, root long, hub long, cid long")
+    sure = F.col("open") & (F.col("alpha") + F.col("_low") <= 1e-9) & (F.col("b") != F.col("_y"))
+    return written(prefix, "prefixes"), mem.where(sure).select(F.col("_y").alias("a"), "b").distinct()
 
 
 def groups(prefix: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b of nodes that share a difference with few others; met rows of the differences that many share)."""
-    g = (1 - least) / (1 + least)
-    crowd = prefix.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.count_if("open").alias("_o"), F.min("root").alias("_r1"), F.max("root").alias("_r2"), F.min("hub").alias("_h1"), F.max("hub").alias("_h2"), F.first("cid").alias("_c"))
-    # Nodes of one hub meet there.
-    crowd = written(crowd.where("_n > 1 AND _o > 0 AND _r1 != _r2 AND (_h1 != _h2 OR _h1 = _c)").select("band", "_n", "_o"), "differing")
+    """(pairs a, b of nodes that share differences with few others; met rows of the differences that many share)."""
+    # The alpha up to which a node has the difference in the prefix of a pair, and what the band has of both.
+    reach = 2 * F.col("most") - F.col("alpha") + 2e-9
+    bounds = [f(F.when(F.col("open"), x) if o else x).alias(f"_{name}{o}") for name, f, x in (("low", F.min, F.col("alpha")), ("reach", F.max, reach)) for o in ("", "o")]
+    crowd = written(_common(prefix, *bounds), "differing")
+    of_band = lambda name: F.when(F.col("open"), F.col(f"_{name}")).otherwise(F.col(f"_{name}o"))
+    near = Hot(crowd, "band", "_n").join(prefix, crowd, "node").where((of_band("low") <= reach) & (F.col("alpha") <= of_band("reach")))
+    near = written(near.select(*prefix.columns), "differing")
+    crowd = written(_common(near), "differing")
     hot = Hot(crowd, "band", "_n")
-    met = written(hot.join(prefix, crowd, "node"), "differing")
-    crowded = F.col("many") | (F.col("_o") > FEW)
-    few = met.where(~crowded)
-    names = ("n", "plus", "minus", "open", "root", "hub", "often")
+    met = written(hot.join(near, crowd, "node"), "differing")
+    few = met.where(F.col("_o") <= FEW)
+    names = ("most", "plus", "minus", "crowded", "n", "alpha", "open", "root", "hub")
     side = lambda x, *more: few.select("band", F.col("node").alias(x), *(F.col(c).alias(f"_{c}{x}") for c in names), *more)
-    ask_of = hot.spread(side("a", "c", "cid", "add", "most").where("_opena"))
-    both = ask_of.join(hot.split(side("b"), "b"), ["band", "_salt"])
+    both = hot.spread(side("a", "cid").where("_opena")).join(hot.split(side("b"), "b"), ["band", "_salt"])
     once = (F.col("a") != F.col("b")) & ((F.col("_huba") != F.col("_hubb")) | (F.col("_huba") == F.col("cid"))) & (~F.col("_openb") | (F.col("a") < F.col("b")))
-    d = {x: F.col(f"_plus{x}") + F.col(f"_minus{x}") for x in "ab"}
-    need = (d["a"] + d["b"] - g * (F.col("_na") + F.col("_nb"))) / 2
-    can = (need <= F.least("_plusa", "_plusb") + F.least("_minusa", "_minusb") + 1e-9) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb"))
-    other = F.when(F.col("add"), F.least("_minusa", "_minusb")).otherwise(F.least("_plusa", "_plusb"))
-    ask = F.ceil(need - other - 1e-9)
-    ask = F.greatest(F.least(ask, F.col("most")) - F.least("_oftena", "_oftenb"), F.lit(1))
-    found = both.where(once & (F.col("_roota") != F.col("_rootb")) & can).groupBy("a", "b", "cid", "add").agg(F.count(F.lit(1)).alias("_same"), F.first(ask).alias("_ask"))
+    need = _must_share("_alphaa", "_alphab")
+    can = (need <= F.least("_mosta", "_mostb", F.least("_plusa", "_plusb") + F.least("_minusa", "_minusb"))) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb"))
+    # Of those in the prefixes, so many can be differences that many nodes have and that weren't looked at.
+    ask = F.least(need, F.lit(SEVERAL))
+    ask -= F.greatest(F.least(F.col("_crowdeda"), F.col("_crowdedb")) - need + ask, F.lit(0))
+    found = both.where(once & (F.col("_roota") != F.col("_rootb")) & can).groupBy("a", "b", "cid").agg(F.count(F.lit(1)).alias("_same"), F.first(F.greatest(ask, F.lit(1))).alias("_ask"))
     pairs = found.where("_same >= _ask").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
-    return written(pairs, "pairs"), met.where(crowded).select("band", "node")
+    return written(pairs, "pairs"), met.where(F.col("_o") > FEW).select("band", "node")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -402,9 +403,9 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = placed.select("node", "text")
     seen = stars(placed, least)
     links = Links(seen)
-    while (prefix := unsettled(seen, links, least)) is not None:
-        pairs, met = groups(prefix, least)
-        found = []
+    while (left := unsettled(seen, links, least)) is not None:
+        pairs, met = groups(left[0], least)
+        pairs, found = pairs.unionByName(left[1]).distinct(), []
         if pairs.limit(1).count():
             sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b").withColumns({"b_centre": F.lit(False), "hub": F.lit(None).cast("binary")})
             found.append(compared(sides, texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), least))

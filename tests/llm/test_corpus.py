@@ -184,6 +184,25 @@ def test_near_duplicates_without_their_original(spark, monkeypatch):
     assert got == brute_classes(rows) and 10 < len(set(got.values())) < len(rows)
 
 
+def test_near_duplicates_with_edits_of_their_own(spark, monkeypatch):
+    """Differences that no other node has, or too few for a link, are not sent; those of two linked nodes are."""
+    r, rows, sent = random.Random(5), {}, []
+    base = [f"w{k}" for k in range(150)]
+    for k in range(60):
+        t = list(base)
+        for at in r.sample(range(0, 150, 4), 9) if k >= 10 else r.sample(range(150), 1):
+            t[at] = f"n{k}x{at}"
+        rows[k] = " ".join(t)
+        if k >= 57:
+            rows[100 + k] = " ".join(t[:-1]) + f" m{k}"
+    groups = neardup.groups
+    monkeypatch.setattr(neardup, "groups", lambda prefix, least: sent.append(prefix.count()) or groups(prefix, least))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in neardup.report(df).collect()}
+    assert got == brute_classes(rows) and 10 < len(set(got.values())) < len(rows)
+    assert 0 < sum(sent) < len(rows) * 45 / 2  # a node adds up to 45 shingles
+
+
 def test_differences():
     """|D(x)| + |D(y)| - 2 |D(x) and D(y)| is the number of shingles in which x and y differ."""
     r = random.Random(2)
