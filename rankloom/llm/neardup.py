@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import column, grams, mix64, of_texts, ranges, slabs, window_bounds
-from .runtime import Hot, count_by, prepare, written
+from .runtime import Hot, count_by, mapped, prepare, written
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -159,7 +159,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(s.first, len(s)), pa.array(node, pa.binary()), bands], names=["doc_id", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
+    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {kind}, node binary, bands array<long>")
 
 
 def centred(met: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def compared(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
                 diff = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate([*diffs, np.zeros(0, np.int32)]))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), diff, pa.array(ok)], names=["a", "b", "b_centre", "hub", "na", "nb", "diff", "ok"])
 
-    return written(full.mapInArrow(run, "a binary, b binary, b_centre boolean, hub binary, na long, nb long, diff array<int>, ok boolean"), "compared")
+    return written(full.transform(mapped, run, "a binary, b binary, b_centre boolean, hub binary, na long, nb long, diff array<int>, ok boolean"), "compared")
 
 
 def stars(placed: DataFrame, least: float) -> DataFrame:
@@ -232,7 +232,7 @@ def components(links: DataFrame) -> DataFrame:
     then follows roots once, so that paths halve; every round is written, and it ends when nothing changes."""
     links = written(links.select("a", "b").distinct(), "links")
     if links.count() <= ONE_TASK:
-        return written(links.coalesce(1).mapInArrow(_united, "node binary, root binary"), "roots")
+        return written(links.coalesce(1).transform(mapped, _united, "node binary, root binary"), "roots")
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     hot = Hot(both, "b")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select("node", F.least("node", "_m").alias("root")), "roots")
@@ -363,7 +363,7 @@ def unsettled(seen: DataFrame, links: Links, least: float) -> tuple[DataFrame, D
             kept = [column(batch, x).take(place) for x in ("b", "n", "alpha", "open", "root", "hub", "cid")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), *(pa.array(x) for x in nums), *kept], names=["band", "most", "plus", "minus", "crowded", "node", "n", "alpha", "open", "root", "hub", "cid"])
 
-    prefix = keyed.mapInArrow(run, "band long, most long, plus long, minus long, crowded long, node binary, n long, alpha double, open boolean, root long, hub long, cid long")
+    prefix = keyed.transform(mapped, run, "band long, most long, plus long, minus long, crowded long, node binary, n long, alpha double, open boolean, root long, hub long, cid long")
     sure = F.col("open") & (F.col("alpha") + F.col("_low") <= 1e-9) & (F.col("b") != F.col("_y"))
     return written(prefix, "prefixes"), mem.where(sure).select(F.col("_y").alias("a"), "b").distinct()
 
@@ -444,7 +444,7 @@ def _marks(involved: DataFrame) -> np.ndarray:
                 found[slot] = found.get(slot, 0) | bits
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["slot", "bits"])
 
-    made = involved.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made = involved.transform(mapped, run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[made["slot"].to_numpy()] = made["bits"].to_numpy()
     return out
@@ -472,7 +472,7 @@ def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
                             nodes.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), column(batch, "text").take(pa.array(at, pa.int64()))], names=["node", "text"])
 
-    one = docs.select("text").mapInArrow(run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
+    one = docs.select("text").transform(mapped, run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
     return one.join(involved, "node")
 
 

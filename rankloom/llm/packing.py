@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import crc, encoded_slabs
 from .blocks import column
-from .runtime import parts, prepare, written
+from .runtime import mapped, parts, prepare, written
 
 CAPACITY, END = 2048, 0
 
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class SumIndex:
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(seq), pa.array(place["offset"][at])], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.transform(mapped, run, f"{kinds}, sequence_id long, offset long")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import column, grams, mix64, ranges, slabs, window_bounds
-from .runtime import free, parts, prepare, written
+from .runtime import free, mapped, parts, prepare, written
 
 WINDOW, PREFIX = 20, 8
 #: Words of texts that are looked at together before anything is sent.
@@ -232,7 +232,7 @@ def _shape(keyed: DataFrame, window: int, prefix: int, bits: int) -> Shape:
             some, n = np.unique(g[np.unique(at)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(some[n > 1].astype(np.int64)), pa.array(n[n > 1])], names=["hash", "n"])
 
-    found = keyed.mapInArrow(often, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > shape.frequent)
+    found = keyed.transform(mapped, often, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > shape.frequent)
     found = written(found, "frequent")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     got = found.where(F.col("n") > total // MOST_FREQUENT).toArrow()
@@ -263,7 +263,7 @@ def _repeated_anchors(keyed: DataFrame, shape: Shape) -> DataFrame:
             some = some[np.argsort(t["id"][some], kind="stable")]
             yield dealt(_by_document(t["id"][some], n), n, {"id": t["id"][some], "tag": t["tag"][some], "place": t["place"][some], "often": _level(count[back[some]], frequent)})
 
-    return _together(keyed.mapInArrow(send, _BLOB)).mapInArrow(meet, _BLOB)
+    return _together(keyed.transform(mapped, send, _BLOB)).transform(mapped, meet, _BLOB)
 
 
 def _per_document(rows: DataFrame, kind, out: str) -> DataFrame:
@@ -282,7 +282,7 @@ def _per_document(rows: DataFrame, kind, out: str) -> DataFrame:
             data = [table[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]]), pa.array(tags[edge[:-1]]), pa.array(data, pa.binary())], names=["_id", "_tag", out])
 
-    return _together(rows).mapInArrow(run, f"_id long, _tag long, {out} binary")
+    return _together(rows).transform(mapped, run, f"_id long, _tag long, {out} binary")
 
 
 def _tree(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -410,10 +410,10 @@ def _marks(found_docs: DataFrame, shape: Shape) -> DataFrame:
         return run
 
     kinds = "bucket int, kind int, data binary"
-    rows_ = found_docs.mapInArrow(send, kinds)
+    rows_ = found_docs.transform(mapped, send, kinds)
     if hot:
-        rows_ = _together(rows_).mapInArrow(meet(2), kinds)
-    return _together(rows_).mapInArrow(meet(1), kinds).where("kind = 0").select("bucket", "data")
+        rows_ = _together(rows_).transform(mapped, meet(2), kinds)
+    return _together(rows_).transform(mapped, meet(1), kinds).where("kind = 0").select("bucket", "data")
 
 
 def _runs(ids, tags, place, n: int) -> pa.RecordBatch:
@@ -485,7 +485,7 @@ def digest(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, bits: in
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return rows.transform(mapped, run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -511,5 +511,5 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = docs.schema
-    out = rows.mapInArrow(run, schema)
+    out = rows.transform(mapped, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

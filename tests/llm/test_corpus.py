@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import time
 import zlib
@@ -9,10 +10,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rankloom.llm import blocks, bloomlm, bpe, licenses, neardup, packing, quality, queries, substrings, topk, toxicity, warc
+from rankloom.llm import blocks, bloomlm, bpe, licenses, neardup, packing, quality, queries, runtime, substrings, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -565,3 +567,29 @@ def test_pipeline(spark, docs, texts):
     want = {i: x[0] - x[1] for i, x in brute_windows(left).items()}
     assert {i: len(words(t)) for i, t in cut.items()} == want
     check_packed(corpus_pipeline.run(spark, SF).collect(), cut)
+
+
+def test_workers_give_memory_back(spark):
+    """What a task has freed doesn't stay with its worker: the later stages of the pipeline run beside it."""
+
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) >> 10
+
+    def work(batches):
+        for batch in batches:
+            before = held()
+            some = [b"%1000d" % i for i in range(200_000)]
+            os.stay = some[::1000]  # between what is freed, so that the heap doesn't end before it
+            del some
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([before])], names=["pid", "mb"])
+
+    def probe(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held()])], names=["pid", "mb"])
+
+    one = spark.range(1).coalesce(1)
+    before = {r.pid: r.mb for r in runtime.mapped(one, work, "pid long, mb long").collect()}
+    after = {r.pid: r.mb for r in one.mapInArrow(probe, "pid long, mb long").collect()}
+    assert before.keys() == after.keys()  # the same worker
+    assert all(after[p] < before[p] + 50 for p in after)
