@@ -76,7 +76,10 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tup
 
 def counted(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, weight) of the different shingles of each text."""
-    order = np.lexsort((hashes, doc))
+    order = np.argsort(hashes)
+    # Numbers of 16 bits are sorted by radix; a slab seldom has more texts.
+    small = doc.astype(np.uint16) if doc.max(initial=0) < 1 << 16 else doc
+    order = order[np.argsort(small[order], kind="stable")]
     h, d = hashes[order], doc[order]
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
     return h[new], d[new], np.diff(np.append(new, len(h)))

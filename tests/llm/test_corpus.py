@@ -223,6 +223,17 @@ def test_near_duplicates_odd(odd):
     assert neardup.report(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("last", [9, (1 << 16) - 1, 1 << 16, 1 << 17])
+def test_counted(last):
+    rng = np.random.default_rng(last)
+    doc = rng.choice([0, 1, last - 1, last], 500)
+    hashes = rng.choice(np.array([1, 5, (1 << 64) - 1], np.uint64), 500)
+    want = Counter(zip(doc.tolist(), hashes.tolist()))
+    h, d, n = neardup.counted(hashes, doc)
+    assert list(zip(d.tolist(), h.tolist(), n.tolist())) == [(*k, want[k]) for k in sorted(want)]
+    assert [len(x) for x in neardup.counted(hashes[:0], doc[:0])] == [0, 0, 0]
+
+
 def test_signatures_are_unbiased():
     """Multisets with weights: the share of equal components is near the weighted Jaccard similarity."""
     a, b = Counter(), Counter()
